@@ -29,7 +29,7 @@ def doi_key(raw: Column) -> Column:
     where nothing of the form ``10.x/y`` is left."""
     x = F.lower(F.trim(F.regexp_replace(raw, r"\s+", " ")))
     x = F.regexp_replace(x, "%2f", "/")
-    x = F.regexp_replace(x, r"^(?:https?://)?(?:www\.)?(?:dx\.)?doi\.org/+", "")
+    x = F.regexp_replace(x, r"^(?:https?://[^/]+/+|(?:www\.)?(?:dx\.)?doi\.org/+)(?=.*10\.)", "")
     x = F.regexp_replace(x, r"^(?:urn:|info:)?doi\s*[:/]?\s*", "")
     x = F.regexp_replace(x, r"[\s.,;:)\]}>\"']+$", "")
     return F.when(x.rlike(r"^10\.\d+/\S"), x)
