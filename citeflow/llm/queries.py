@@ -1,7 +1,7 @@
 """All queries of the subpackage."""
 
-from citeflow.llm import names, tokens, works
+from citeflow.llm import leaks, names, tokens, works
 
-_PARTS = [names, tokens, works]
+_PARTS = [leaks, names, tokens, works]
 QUERIES = {name: q for p in _PARTS for name, q in p.QUERIES.items()}
 SQL = {name: sql for p in _PARTS for name, sql in p.SQL.items()}
