@@ -241,7 +241,7 @@ class Repairer:
                 right = re.match(r"[^\W_]+", line)
                 a, b = re.search(r"[^\W_]*$", current[:-1])[0].lower(), right[0].lower() if right else ""
                 whole, parts = self.trie.words.get(a + b, 0), min(self.trie.words.get(a, 0), self.trie.words.get(b, 0))
-                compound = m[2] in "-‐‑¬" and not whole and f"{a} {b}" in self.pairs and parts
+                compound = not whole and f"{a} {b}" in self.pairs and parts
                 current = current[:-1] + ("-" if compound else "") + line
             else:
                 sep = "" if current and ord(current[-1]) > 0x2E80 and ord(line[0]) > 0x2E80 else " "
