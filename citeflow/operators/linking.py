@@ -36,17 +36,18 @@ def near_duplicates(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
     return near.select(F.when(a_old, F.col("doi_a")).otherwise(F.col("doi_b")).alias("old"), F.when(a_old, F.col("doi_b")).otherwise(F.col("doi_a")).alias("new"), "similarity")
 
 
-def suggestions(queries: DataFrame, catalogue: DataFrame, k: int = 3, least: float = 0.2) -> DataFrame:
+def suggestions(queries: DataFrame, catalogue: DataFrame, k: int = 3, least: float = 0.4) -> DataFrame:
     """For each query (qid, title) the k catalogue titles (cid, title) of highest
     Jaccard similarity, at least ``least``, with whether it reaches 0.6. The join
     is on the prefix words that a pair of that similarity must share."""
-    q = queries.select("qid", R.word_set(F.col("title")).alias("qw")).where(F.size("qw") > 0)
-    c = catalogue.select("cid", R.word_set(F.col("title")).alias("cw")).where(F.size("cw") > 0)
+    hashes = F.array_distinct(F.transform(R.word_set(F.col("title")), lambda w: F.xxhash64(w)))
+    q = queries.select("qid", hashes.alias("qw")).where(F.size("qw") > 0)
+    c = catalogue.select("cid", hashes.alias("cw")).where(F.size("cw") > 0)
     words = c.select(F.explode("cw").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
 
     def prefixed(rows: DataFrame, ident: str, w: str) -> DataFrame:
         s = rows.select(ident, F.explode(w).alias("t")).join(words, "t", "left").groupBy(ident).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))), lambda x: x["t"]).alias("s")
+            F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0).cast("long")).alias("df"), "t"))), lambda x: x["t"]).alias("s")
         )
         keep = (F.size("s") - F.ceil(least * F.size("s")) + 1).cast("int")
         return rows.join(s, ident).withColumn("p", F.explode(F.slice("s", F.lit(1), keep))).drop("s")

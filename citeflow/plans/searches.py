@@ -88,7 +88,7 @@ def e28_title_suggestions(s, d):
     similar title: a search of a stated query set against all entries."""
     q = _hits(s, d).where("hit_id % 20 = 0").select(F.col("hit_id").alias("qid"), "title")
     c = _entries(s, d).select(F.col("entry_id").alias("cid"), "title")
-    return linking.suggestions(q, c, 3, 0.2).select("qid", "cid", F.round("similarity", 6).alias("similarity"), "rank", "match")
+    return linking.suggestions(q, c, 3, 0.4).select("qid", "cid", F.round("similarity", 6).alias("similarity"), "rank", "match")
 
 
 def f15_query_overlap(s, d):
@@ -132,7 +132,7 @@ n AS (SELECT *, sum(ok::INT) OVER (PARTITION BY query_id ORDER BY pos) AS n FROM
 SELECT query_id, count(*) FILTER (ok AND n <= {CAP}) AS admitted, count(*) FILTER (NOT ok AND (f IS NULL OR pos <= f)) AS rejected, coalesce(bool_or(ok AND pos BETWEEN f + 1 AND f + {max(20, 3 * CAP)}), false) AS more FROM u GROUP BY 1""",
     "e19_recall": f"WITH {H_SQL}, {_HK}, {E_SQL}, {_EK}, n AS (SELECT DISTINCT source, k FROM hk WHERE k IS NOT NULL) SELECT source, count(*) AS known, count(ek.k) AS found, round(count(ek.k) / count(*), 3) AS recall FROM n LEFT JOIN ek USING (k) GROUP BY 1",
     "e28_title_suggestions": f"""WITH {H_SQL}, {E_SQL}, q AS (SELECT hit_id AS qid, {_WORDS.format('title')} AS qw FROM h WHERE hit_id % 20 = 0), c AS (SELECT entry_id AS cid, {_WORDS.format('title')} AS cw FROM e),
-p AS (SELECT qid, cid, {_JAC.format(a='qw', b='cw')} AS s FROM q, c WHERE len(qw) > 0 AND len(cw) > 0), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, cid) AS rank FROM p WHERE s >= 0.2)
+p AS (SELECT qid, cid, {_JAC.format(a='qw', b='cw')} AS s FROM q, c WHERE len(qw) > 0 AND len(cw) > 0), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, cid) AS rank FROM p WHERE s >= 0.4)
 SELECT qid, cid, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank, s >= 0.6 AS match FROM k WHERE rank <= 3""",
     "f15_query_overlap": f"WITH {H_SQL}, {_HK} SELECT k, count(DISTINCT query_id) AS queries FROM hk WHERE k IS NOT NULL GROUP BY 1 HAVING count(DISTINCT query_id) >= 2",
     "d14_hits_without_usable_doi": f"WITH {H_SQL}, {_HK}, w AS (SELECT source, CASE WHEN trim(coalesce(doi,'')) = '' THEN 'blank' WHEN starts_with(lower(doi),'nct:') THEN 'trial' WHEN k IS NULL THEN 'malformed' END AS why FROM hk) SELECT source, why, count(*) AS hits FROM w WHERE why IS NOT NULL GROUP BY ALL",
