@@ -62,10 +62,14 @@ _SOUND = {c: k for k, s in {"1": "bp", "2": "vf", "3": "ckgqj", "4": "szx", "5":
 
 
 def folded(text: str) -> str:
-    """Lower case without accents and without the vowel doublings that stand
-    for umlauts."""
+    """Lower case without accents."""
     text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).lower().translate(_LETTERS))
-    text = "".join(c for c in text if not unicodedata.combining(c)).translate(_LETTERS)
+    return "".join(c for c in text if not unicodedata.combining(c)).translate(_LETTERS)
+
+
+def contracted(text: str) -> str:
+    """Folded text without the vowel pairs that stand for umlauts, so that both
+    spellings of them are alike."""
     return re.sub(r"aa|ae", "a", re.sub(r"oe", "o", re.sub(r"ue", "u", text)))
 
 
@@ -171,7 +175,8 @@ def blocks(core: str, given: tuple[str, ...]) -> list[str]:
     for head, mark in ((core, ""), *([(core.split("-")[0], "-" + core.split("-")[1][:1])] if "-" in core else [])):
         c = code(head)
         for lead in leads(given):
-            for size in ((len(head), len(head) + 1) if not mark else (0,)):
+            sizes = {n + i for n in (len(head), len(contracted(head))) for i in (0, 1)} if not mark else {0}
+            for size in sizes:
                 out.add(f"{lead}|{mark}|{size}|{c}")
                 out.update(f"{lead}|{mark}|{size}|{c[:i] + c[i + 1 :]}" for i in range(len(c)))
     return sorted(out)
@@ -224,13 +229,15 @@ def same_core(a: str, b: str, least: float = 0.88) -> bool:
     """Whether two cores are spellings of one: equal, one edit apart with high
     Jaro-Winkler similarity, or equal with the second part of a double name cut
     to its first letter. Cores under five letters must be equal."""
-    if a == b:
+    if a == b or contracted(a) == contracted(b):
         return True
     if "-" in a and "-" in b:
         (a1, _, a2), (b1, _, b2) = a.partition("-"), b.partition("-")
         if a2 and b2 and min(len(a2), len(b2)) == 1 and a2[0] == b2[0]:
             return a1 == b1 or min(len(a1), len(b1)) >= 5 and one_edit(a1, b1)
-    return min(len(a), len(b)) >= 5 and one_edit(a, b) and jaro_winkler(a, b) >= least
+    short, other = contracted(a), contracted(b)
+    near = one_edit(a, b) and jaro_winkler(a, b) >= least or one_edit(short, other) and jaro_winkler(short, other) >= least
+    return min(len(a), len(b)) >= 5 and near
 
 
 def _same_word(a: str, b: str) -> bool:
@@ -269,8 +276,8 @@ def _parse_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _block_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in it:
-        rows = [(n, f, c, g, blocks(c, tuple(g.split()))) for n, f, c, g in zip(batch["node"], batch["family"], batch["core"], batch["given"])]
-        yield pd.DataFrame(rows, columns=["node", "family", "core", "given", "keys"])
+        rows = [(n, f, c, contracted(c), g, blocks(c, tuple(g.split()))) for n, f, c, g in zip(batch["node"], batch["family"], batch["core"], batch["given"])]
+        yield pd.DataFrame(rows, columns=["node", "family", "core", "short", "given", "keys"])
 
 
 def _accept(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,10 +301,10 @@ def variants(names: DataFrame) -> DataFrame:
     read = spread(strings.select("ident", "name", "family")).mapInPandas(_parse_rows, "ident long, family boolean, core string, given string")
     read = cut(read.join(strings.select("ident", "field"), "ident").withColumn("node", F.xxhash64(F.lit("parse"), "field", "core", "given")))
     nodes = spread(read.select("node", "family", "core", "given", "field").distinct(), "node")
-    keyed = nodes.select("node", "family", "core", "given").mapInPandas(_block_rows, "node long, family boolean, core string, given string, keys array<string>")
-    keyed = cut(keyed.select("node", "family", "core", "given", F.explode("keys").alias("block")).withColumn("block", F.xxhash64("family", "block")))
-    a, b = (keyed.select("block", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "core", "given")], *(["family"] if x == "a" else [])) for x in "ab")
-    close = (F.levenshtein("core_a", "core_b", 2) >= 0) | F.col("core_a").contains("-")
+    keyed = nodes.select("node", "family", "core", "given").mapInPandas(_block_rows, "node long, family boolean, core string, short string, given string, keys array<string>")
+    keyed = cut(keyed.select("node", "family", "core", "short", "given", F.explode("keys").alias("block")).withColumn("block", F.xxhash64("family", "block")))
+    a, b = (keyed.select("block", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "core", "short", "given")], *(["family"] if x == "a" else [])) for x in "ab")
+    close = (F.levenshtein("core_a", "core_b", 2) >= 0) | (F.levenshtein("short_a", "short_b", 2) >= 0) | F.col("core_a").contains("-")
     pairs = a.join(b, "block").where((F.col("node_a") < F.col("node_b")) & close)
     pairs = pairs.groupBy("node_a", "node_b").agg(*[F.first(c).alias(c) for c in ("family", "core_a", "core_b", "given_a", "given_b")])
     linked = pairs.mapInPandas(_accept, "node_a long, node_b long")
