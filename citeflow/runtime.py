@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,23 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str =
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python workers, once a context, so
+    that they can import it wherever the driver found it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_citeflow_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.is_dir():  # else the package itself comes from an archive that is shipped already
+        with zipfile.ZipFile(path := f"{tempfile.mkdtemp(prefix='citeflow-code-')}/citeflow.zip", "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"citeflow/{f.relative_to(root)}")
+        sc.addPyFile(path)
+    sc._citeflow_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
     the cluster names in ``spark.checkpoint.dir``. Only where that setting is
     absent (tests, a laptop) a temporary folder is used."""
     spark = df.sparkSession
+    ship(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +66,7 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Rows spread over as many partitions as the session's shuffles have.
     For stages that do much work for each row of a small file, which a scan
     would leave in one task."""
+    ship(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(n, df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(n, *cols) if cols else df.repartition(n)
