@@ -225,7 +225,7 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i + 2 :] == b[i + 2 :] and a[i : i + 2] == b[i : i + 2][::-1]
 
 
-def same_core(a: str, b: str, least: float = 0.88) -> bool:
+def same_core(a: str, b: str, least: float = 0.75) -> bool:
     """Whether two cores are spellings of one: equal, one edit apart with high
     Jaro-Winkler similarity, or equal with the second part of a double name cut
     to its first letter. Cores under five letters must be equal."""
