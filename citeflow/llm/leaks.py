@@ -233,15 +233,15 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     at least five words or a leaked passage.
 
     docs: doc_id, text; items: item_id, text. Null and empty texts match
-    nothing. Keys may repeat; each row counts by itself and results are
-    distinct. Test texts of under PASSAGE words are never leaked."""
+    nothing, nor do rows whose id is null. Keys may repeat; each row counts by
+    itself and results are distinct. Other columns may have any name. Test texts of under PASSAGE words are never leaked."""
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     spark, out = docs.sparkSession, None
-    held = spread(docs.where("text IS NOT NULL").select("doc_id", "text"))
+    held = spread(docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text"))
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).where("text IS NOT NULL").select("item_id", "text")
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text")
         rows = [tuple(r) for r in part.distinct().collect()]  # a bounded block of the query set
         shared = spark.sparkContext.broadcast(Tests(rows))
 

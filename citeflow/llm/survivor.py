@@ -44,12 +44,13 @@ def survivors(records: DataFrame, group: str, key: str, fields: list[str], recen
     has, how many records and layers there are, and each field with its best
     value, with ``filled`` naming the fields that came from another record.
 
-    records: one row for each record; group and key not null; fields of any
-    atomic or array type; recency a timestamp (null is oldest); trust an
+    records: one row for each record; rows whose group or key is null are left
+    out; rows that repeat a key count as records of it; fields of any atomic or
+    array type and any name; recency a timestamp (null is oldest); trust an
     integer (null is 0). Ties go to the least key."""
     kinds = dict(records.dtypes)
     day = F.coalesce(F.datediff(F.col(recency).cast("date"), F.lit("1970-01-01")), F.lit(-100000))
-    rows = records.select(
+    rows = records.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(
         F.col(group).alias("g"), F.col(key).alias("k"), complete([F.col(f"`{f}`") for f in fields]).alias("c"),
         F.coalesce(F.col(trust).cast("int"), F.lit(0)).alias("t"), day.alias("d"), F.coalesce(F.col(recency), F.lit("0001-01-01").cast("timestamp")).alias("at"),
         *[F.to_json(F.struct(F.col(f"`{f}`").alias("v"))).alias(f"f{i}") for i, f in enumerate(fields)],

@@ -121,7 +121,7 @@ def test_survivor_and_filling(spark):
     at = lambda d: datetime(2025, 1, d)
     rows = [
         (1, 10, "old", ["a"], None, at(1), 1, "k"), (1, 11, None, None, 2001, at(9), 8, "k"), (1, 12, "new", ["b"], 1999, at(5), 1, "k"),
-        (2, 20, None, None, None, None, None, None), (3, 30, "t", [], 1, at(1), 2, None), (3, 31, "u", [], 1, at(1), 2, None),
+        (2, 20, None, None, None, None, None, None), (3, 30, "t", [], 1, at(1), 2, None), (3, 31, "u", [], 1, at(1), 2, None), (None, 40, "x", None, 1, at(1), 9, "k"), (4, None, "x", None, 1, at(1), 9, "k"),
     ]
     got = {r.work: r for r in survivors(spark.createDataFrame(rows, SCHEMA), "work", "entry_id", ["title", "tags", "year"], "at", "trust").collect()}
     assert (got[1].entry_id, got[1].title, got[1].tags, got[1].year, sorted(got[1].filled), got[1].records) == (11, "new", ["b"], 2001, ["tags", "title"], 3)

@@ -114,7 +114,7 @@ class TestLeaks:
             docs.append((10 * i + 2, f"{filler(9)} {' '.join(altered)}"))
             docs.append((10 * i + 3, f"As noted, {' '.join(w[3:9])}, and so on. {filler(9)}"))
             want |= {(10 * i + k, i) for k in (0, 1, 2)}
-        extra = [(5000, None), (5001, ""), (5002, filler(30000)), (5003, "  \n")]
+        extra = [(None, docs[0][1]), (5000, None), (5001, ""), (5002, filler(30000)), (5003, "  \n")]
         got = leaks.matches(spark.createDataFrame(docs + docs[:1] + extra, "doc_id long, text string"), spark.createDataFrame([*items, (99, None), (98, ""), (97, "too short")], "item_id long, text string"))
         found = {(r.doc_id, r.item_id) for r in got.where("leaked").collect()}
         assert found == want
@@ -188,7 +188,7 @@ class TestEncodings:
 
     def test_rows(self, spark):
         bad = self.CLEAN[0].encode().decode("latin-1")
-        rows = [(i, "fr", f"{self.CLEAN[0]} {i}") for i in range(50)] + [(100, "fr", bad), (101, None, "Sch�tzung f�r"), (102, "fr", None), (103, "fr", ""), (104, "FR", "é" * 50000)]
+        rows = [(i, "fr", f"{self.CLEAN[0]} {i}") for i in range(50)] + [(100, "fr", bad), (None, "fr", bad), (101, None, "Sch�tzung f�r"), (102, "fr", None), (103, "fr", ""), (104, "FR", "é" * 50000)]
         docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
         got = {r.doc_id: (r.repaired, r.lost) for r in encodings.find(docs, "doc_id", "text", encodings.dictionaries(docs)).collect()}
         assert got == {100: (self.CLEAN[0], False), 101: (None, True)}
