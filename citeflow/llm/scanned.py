@@ -172,6 +172,8 @@ class Repairer:
 
     def __init__(self, words: dict[str, int], pairs: set[str]):
         self.trie, self.pairs, self.known = Trie(words), pairs, {}
+        # What a misread word stands for is common: in one of 200 texts or more.
+        self.common = max(2 * LEAST, max(words.values(), default=0) // 200)
 
     def _candidates(self, token: str) -> list[tuple[str, tuple[int, int, bool]]]:
         got = self.known.get(token)
@@ -201,7 +203,8 @@ class Repairer:
                 best = (rank, w, near, c)
         if best:
             _, w, near, (edits, _, faint) = best
-            if mixed or ligature or near == 2 or near and not faint and not own or not own and not faint and len(low) >= 7 and edits == 1:
+            sure = near == 2 or near and not faint and not own or not own and not faint and len(low) >= 7 and edits == 1
+            if mixed or ligature or sure and self.trie.words[w] >= self.common:
                 return w
         if ligature:
             return low.replace("ﬁ", "fi").replace("ﬂ", "fl")
