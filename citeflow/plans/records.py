@@ -19,10 +19,9 @@ STOP = ("analysis approach association based between clinical comparison effect
 
 def _entries(s, d):
     """One row for each entry_id: the one that arrived last."""
-    return T(s, d, "entries").groupBy("entry_id").agg(F.max_by(F.struct("*"), "seq").alias("r")).select("r.*")
+    return store.one_each(T(s, d, "entries"), ["entry_id"], [F.col("seq").desc()])
 
 
-_E = "(SELECT r.* FROM (SELECT unnest(e) FROM (SELECT arg_max(entries, seq) AS e FROM entries GROUP BY entry_id)) r)"
 E_SQL = "e AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY seq DESC) = 1)"
 
 

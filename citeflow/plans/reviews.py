@@ -18,8 +18,7 @@ def _docs(s, d):
 
 def _claims(s, d):
     """One row for each claim_id: the one that arrived first."""
-    c = table(s, d, "claims")
-    return c.groupBy("claim_id").agg(F.min_by(F.struct("*"), F.struct("arrived_at", "round")).alias("r")).select("r.*")
+    return store.one_each(table(s, d, "claims"), ["claim_id"], [F.col("arrived_at"), F.col("round")])
 
 
 C_SQL = "c AS (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY arrived_at, round) = 1)"

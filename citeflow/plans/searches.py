@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeflow.functions.text import doi_key
-from citeflow.operators import linking, ranking
+from citeflow.operators import linking, ranking, store
 from citeflow.plans.records import _JAC, _WORDS, E_SQL, _entries, doi_sql
 from citeflow.runtime import table
 
@@ -16,7 +16,7 @@ CAP = 5
 
 def _hits(s, d):
     """One row for each hit_id."""
-    return table(s, d, "hits").groupBy("hit_id").agg(F.min_by(F.struct("*"), F.struct("retrieved_at", "rank0")).alias("r")).select("r.*")
+    return store.one_each(table(s, d, "hits"), ["hit_id"], [F.col("retrieved_at"), F.col("rank0")])
 
 
 H_SQL = "h AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY hit_id ORDER BY retrieved_at, rank0) = 1)"
