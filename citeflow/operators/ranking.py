@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeflow.runtime import cut
+
 RRF = 60
 
 
@@ -26,7 +28,7 @@ def fused(hits: DataFrame, query: str, doi: Column, sources: list[str]) -> DataF
     sources' rankings; a source ranks a DOI by its first occurrence, 0 first."""
     rows = hits.where(F.col("source").isin(sources)).withColumn("__doi", doi).where(F.coalesce("__doi", F.lit("")) != "")
     firsts = rows.groupBy(query, "source", "__doi").agg(F.min(F.struct("rank0", "hit_id")).alias("p"))
-    ranked = firsts.withColumn("r", F.row_number().over(Window.partitionBy(query, "source").orderBy("p")) - 1)
+    ranked = numbered(firsts, [query, "source"], ["p"], "__place").withColumn("r", F.col("__place") - 1)
     return ranked.groupBy(query, F.col("__doi").alias("doi")).agg(F.sum(1.0 / (RRF + F.col("r"))).alias("score"), F.count("*").alias("sources"))
 
 
@@ -43,21 +45,42 @@ def saturation(counts: DataFrame, group: list[str], round_: str, new: str) -> Da
     return out.withColumn("ratio", F.when(F.col("upto") > 0, F.col(new) / F.col("upto")))
 
 
-def admitted(candidates: DataFrame, group: list[str], order: list[Column], eligible: Column, cap: int) -> DataFrame:
-    """Capped admission with look-ahead: the first ``cap`` eligible candidates
-    of each group are admitted; of those after the cap, the first
-    max(20, 3 cap) are scanned, and ``more`` tells whether one is eligible."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    rows = candidates.withColumn("__ok", eligible).withColumn("__pos", F.row_number().over(w))
-    rows = rows.withColumn("__n", F.sum(F.col("__ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    full = rows.groupBy(*group).agg(F.min(F.when((F.col("__n") == cap) & F.col("__ok"), F.col("__pos"))).alias("__full"))
-    rows = rows.join(full, group)
-    ahead = F.col("__pos").between(F.col("__full") + 1, F.col("__full") + max(20, 3 * cap))
-    return rows.groupBy(*group).agg(
-        F.count_if(F.col("__ok") & (F.col("__n") <= cap)).alias("admitted"),
-        F.count_if(~F.col("__ok") & (F.col("__full").isNull() | (F.col("__pos") <= F.col("__full")))).alias("rejected"),
-        F.coalesce(F.bool_or(F.col("__ok") & ahead), F.lit(False)).alias("more"),
+def admitted(candidates: DataFrame, group: list[str], key: Column, eligible: Column, cap: int) -> DataFrame:
+    """Capped admission with look-ahead, in ascending order of key: the first
+    ``cap`` eligible candidates of each group are admitted; of those after the
+    cap, the first max(20, 3 cap) are scanned, and ``more`` tells whether one is
+    eligible.
+
+    Both cuts are group limits that run map-side; the rest is aggregation, so no
+    task holds a whole group. Groups are not null."""
+    rows = candidates.withColumn("__ok", eligible).withColumn("__key", key)
+    first = top(rows.where("__ok"), group, [F.col("__key")], cap, "__r").groupBy(*group).agg(F.count("*").alias("admitted"), F.max("__key").alias("__last"))
+    full = first.select(*group, "admitted", F.when(F.col("admitted") == cap, F.col("__last")).alias("__full"))
+    rows = rows.join(full, group, "left")
+    counts = rows.groupBy(*group).agg(
+        F.coalesce(F.max("admitted"), F.lit(0)).alias("admitted"), F.count_if(~F.col("__ok") & (F.col("__full").isNull() | (F.col("__key") <= F.col("__full")))).alias("rejected")
     )
+    ahead = top(rows.where(F.col("__key") > F.col("__full")), group, [F.col("__key")], max(20, 3 * cap), "__r")
+    ahead = ahead.groupBy(*group).agg(F.bool_or("__ok").alias("more"))
+    return counts.join(ahead, group, "left").withColumn("more", F.coalesce("more", F.lit(False)))
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their number in the group by ascending order, from 1.
+
+    Rows are range-partitioned by group and order, numbered within each piece,
+    and moved on by the size of the pieces before it, so that a group of any
+    size is spread over tasks. group and order together are unique."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    held = cut(rows.repartitionByRange(n, *group, *order).withColumn("__piece", F.spark_partition_id()))
+    sizes = held.groupBy(*group, "__piece").agg(F.count("*").alias("__size"))
+    w = Window.partitionBy(*group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"__{c}") for c in group], F.col("__piece").alias("__at"), F.coalesce(F.sum("__size").over(w), F.lit(0)).alias("__before"))
+    same = held["__piece"] == sizes["__at"]
+    for c in group:
+        same = same & held[c].eqNullSafe(sizes[f"__{c}"])
+    local = F.row_number().over(Window.partitionBy(*group, "__piece").orderBy(*order))
+    return held.join(sizes, same).withColumn(name, (local + F.col("__before")).cast("int")).select(*rows.columns, name)
 
 
 def snowball(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -72,8 +95,10 @@ def snowball(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """The upper of the two middle values, without gathering a group: rank and
-    count decide."""
+    """The upper of the two middle values. Rows are counted by value first, so
+    the ranking runs over distinct values."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*group)
-    ranked = rows.withColumn("__r", F.row_number().over(w.orderBy(value))).withColumn("__n", F.count("*").over(w))
-    return ranked.where(F.col("__r") == F.floor(F.col("__n") / 2) + 1).select(*group, F.col(value).alias("upper_median"))
+    upto = n.withColumns({"__upto": F.sum("__n").over(w.orderBy(value)), "__all": F.sum("__n").over(w)})
+    reached = upto.where(F.col("__upto") >= F.floor(F.col("__all") / 2) + 1)
+    return reached.groupBy(*group).agg(F.min(value).alias("upper_median"))

@@ -3,12 +3,12 @@ entries, set operations, unions of assets, notes, updates from results."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeflow.functions import records as R
 from citeflow.functions.text import doi_key
 from citeflow.operators import store
+from citeflow.operators.ranking import numbered
 from citeflow.plans.records import _CLUSTER, E_SQL, _entries, doi_sql
 from citeflow.plans.reviews import C_SQL, _claims, _docs
 from citeflow.runtime import table
@@ -56,8 +56,8 @@ def h2_store_dump(s, d):
     """Place of each entry in its topic's dump: by gap, cited first, by key."""
     used = _claims(s, d).select("topic", F.col("key").alias("citation_key")).distinct().withColumn("cited", F.lit(True))
     e = _entries(s, d).select("topic", "gap", "citation_key", "entry_id").join(used, ["topic", "citation_key"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
-    w = Window.partitionBy("topic").orderBy(F.coalesce("gap", F.lit("")), F.col("cited").desc(), F.coalesce("citation_key", F.lit("")), "entry_id")
-    return e.select("topic", "entry_id", "cited", F.row_number().over(w).alias("place"))
+    e = e.select("topic", "entry_id", "cited", F.coalesce("gap", F.lit("")).alias("g"), (~F.col("cited")).alias("later"), F.coalesce("citation_key", F.lit("")).alias("key"))
+    return numbered(e, ["topic"], ["g", "later", "key", "entry_id"], "place").select("topic", "entry_id", "cited", "place")
 
 
 def j28_paragraphs(s, d):

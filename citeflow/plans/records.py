@@ -230,12 +230,12 @@ def h3_study_types(s, d):
 
 
 def h4_reference_order(s, d):
-    from pyspark.sql import Window
+    from citeflow.operators.ranking import numbered
 
     e = _entries(s, d)
     fam = F.lower(F.trim(F.split_part(F.coalesce(F.try_element_at("authors", F.lit(1)), F.lit("")), F.lit(","), F.lit(1))))
-    w = Window.partitionBy("topic").orderBy(fam, F.coalesce("year", F.lit(0)), "entry_id")
-    return e.select("topic", "entry_id", F.row_number().over(w).alias("place"))
+    e = e.select("topic", "entry_id", fam.alias("family"), F.coalesce("year", F.lit(0)).alias("year"))
+    return numbered(e, ["topic"], ["family", "year", "entry_id"], "place").select("topic", "entry_id", "place")
 
 
 def m5_verification(s, d):

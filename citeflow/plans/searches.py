@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeflow.functions.text import doi_key
@@ -35,8 +34,7 @@ def a29_hits_by_source(s, d):
 
 def e8_merged_hits(s, d):
     m = ranking.merged_hits(_hits(s, d), "query_id", F.lower("doi"), _order())
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("first_at"))
-    return m.select("query_id", "doi", "hit_id", "source", "cited_by_count", "copies", place.alias("place"))
+    return ranking.numbered(m, ["query_id"], ["first_at"], "place").select("query_id", "doi", "hit_id", "source", "cited_by_count", "copies", "place")
 
 
 def e9_new_hits(s, d):
@@ -72,7 +70,7 @@ def g5_admission(s, d):
     have = _entries(s, d).select(doi_key(F.col("doi")).alias("k")).where("k IS NOT NULL").distinct().withColumn("known", F.lit(True))
     m = ranking.merged_hits(_hits(s, d), "query_id", doi_key(F.col("doi")), _order()).withColumnRenamed("doi", "k").join(have, "k", "left")
     ok = F.col("known").isNull() & (F.coalesce("year", F.lit(0)) >= 2010)
-    return ranking.admitted(m, ["query_id"], [F.coalesce("cited_by_count", F.lit(0)).desc(), F.col("k")], ok, CAP)
+    return ranking.admitted(m, ["query_id"], F.struct((-F.coalesce("cited_by_count", F.lit(0))).alias("c"), "k"), ok, CAP)
 
 
 def e19_recall(s, d):

@@ -157,10 +157,20 @@ def test_supersession(spark):
 
 def test_admission_with_look_ahead(spark):
     rows = spark.createDataFrame([("q", i, i not in (1, 2)) for i in range(40)] + [("r", 0, True), ("r", 1, False)], "q string, p int, ok boolean")
-    got = {r.q: (r.admitted, r.rejected, r.more) for r in ranking.admitted(rows, ["q"], [F.col("p")], F.col("ok"), 5).collect()}
+    got = {r.q: (r.admitted, r.rejected, r.more) for r in ranking.admitted(rows, ["q"], F.col("p"), F.col("ok"), 5).collect()}
     assert got == {"q": (5, 2, True), "r": (1, 1, False)}
 
 
+def test_numbered_splits_a_group(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "b").alias("g"), ((F.col("id") * 7919) % 2003).alias("v"))
+    got = ranking.numbered(rows.where("g = 'hot' OR v % 5 = 0"), ["g"], ["v"], "place").collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.g or "", r.v)):
+        by[r.g] = by.get(r.g, 0) + 1
+        assert r.place == by[r.g]
+    assert by["hot"] == 667 and None in by
+
+
 def test_upper_median(spark):
     rows = spark.createDataFrame([("a", v) for v in (1, 2, 3, 4)] + [("b", 7)], "g string, v int")
     assert {r.g: r.upper_median for r in ranking.upper_median(rows, ["g"], "v").collect()} == {"a": 3, "b": 7}
