@@ -39,7 +39,8 @@ FIELDS = ["doi", "title", "authors", "year", "journal", "issn", "study_type", "g
 def _best(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "entries")
     of = cut(work_groups(entries))
-    rows = entries.join(of, "entry_id")
+    used = [*FIELDS, "entry_id", "verification_status", "retracted", "superseded_by", "supersedes", "deleted", "arrived_at", "seq"]
+    rows = entries.select(used).join(of, "entry_id")
     named = rows.select("component", "entry_id", doi_key(F.col("doi")).alias("self"), doi_key(F.col("superseded_by")).alias("by"), "supersedes")
     # Who is superseded, by their own link or another record's: an equi-join on (work, DOI).
     owns = named.where("self IS NOT NULL").select("component", F.col("self").alias("doi"), F.col("entry_id").alias("other")).distinct()
@@ -50,8 +51,8 @@ def _best(spark: SparkSession, d: str) -> DataFrame:
     beaten = claims.join(owns, ["component", "doi"]).where("winner <> other").select(F.col("other").alias("entry_id")).distinct()
     lost = lost.unionByName(beaten).distinct().withColumn("lost", F.lit(True))
     # A record's rows: the latest arrival that is no tombstone speaks for it.
-    latest = rows.groupBy("component", "entry_id").agg(F.max_by(F.struct(*entries.columns), F.struct(~F.coalesce("deleted", F.lit(False)), "arrived_at", "seq")).alias("r"))
-    latest = latest.select("component", *[F.col(f"r.{c}").alias(c) for c in entries.columns]).join(lost, "entry_id", "left")
+    latest = rows.groupBy("component", "entry_id").agg(F.max_by(F.struct(*used), F.struct(~F.coalesce("deleted", F.lit(False)), "arrived_at", "seq")).alias("r"))
+    latest = latest.select("component", *[F.col(f"r.{c}").alias(c) for c in used]).join(lost, "entry_id", "left")
     sound = (F.col("verification_status") == "verified").cast("int") * 4 + (~F.coalesce("retracted", F.lit(False))).cast("int") * 2 + F.col("lost").isNull().cast("int")
     right = (F.col("verification_status") == "verified") & ~F.coalesce("retracted", F.lit(False)) & F.col("lost").isNull()
     trust = F.when(right, 8).otherwise(F.coalesce(sound, F.lit(0)))
