@@ -5,6 +5,8 @@ an organisation's name) and given parts (names, initials, or the other words of
 an organisation, which an acronym stands for). Blocks are phonetic codes of the
 sorted core tokens with the first given initial; every code is also a block with
 each of its symbols left out, so two cores one edit apart always share a block.
+A second core, the tokens in written order without separators, makes particles
+written together and double names with a blank or a hyphen alike.
 Pairs within a block are compared by Jaro-Winkler and edit distance on the
 cores, and by initials, nicknames and abbreviations on the given parts. Accepted
 pairs are clustered by connected components.
@@ -86,6 +88,11 @@ def _core(tokens: list[str]) -> str:
     return " ".join(sorted(re.sub(r"[^\w-]", "", folded(t)) for t in tokens if re.sub(r"[^\w]", "", t)))
 
 
+def _glued(tokens: list[str]) -> str:
+    """Tokens in written order, without any separator."""
+    return "".join(re.sub(r"[\W_]", "", folded(t)) for t in tokens)
+
+
 def _given(tokens: list[str]) -> list[str]:
     out = []
     for t in tokens:
@@ -117,6 +124,12 @@ def _spelled(tokens: list[str]) -> list[str]:
 
 def parses(name: str, family_only: bool) -> list[tuple[str, tuple[str, ...]]]:
     """(core, given parts) of each way to read a name; none for a blank one."""
+    return [(_core(tokens), given) for tokens, given in _readings(name, family_only)]
+
+
+def _readings(name: str, family_only: bool) -> list[tuple[list[str], tuple[str, ...]]]:
+    """(tokens of the core in written order, given parts) of each way to read a
+    name. Particles behind the comma come first, as they do before a family name."""
     name = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", name)).strip()
     name = re.sub(r"\s*,\s*", ", ", name)
     if not re.search(r"\w", name) or re.sub(r"\W+", " ", name.lower()).strip() in NO_NAMES:
@@ -128,33 +141,33 @@ def parses(name: str, family_only: bool) -> list[tuple[str, tuple[str, ...]]]:
             a = b + a
         a = [t for t in a if folded(t) != "the"]
         if len(a) > 1:
-            return [(_core(a[:1]), tuple(_given(a[1:])))]
+            return [(a[:1], tuple(_given(a[1:])))]
     particles = [t for t in b if folded(t) in PARTICLES]
     b = [t for t in b if folded(t) not in PARTICLES]
     if family_only:
         if not b:
             while len(a) > 1 and _initials(a[-1], a[:-1]) is not None:
                 a = a[:-1]
-        return [(_core(a + particles), ())]
+        return [(particles + a, ())]
     if b:
         own = _spelled(b)
-        swapped = [(_core(b + particles), tuple(_spelled([t for t in a if folded(t) not in PARTICLES])))]
+        swapped = [(particles + b, tuple(_spelled([t for t in a if folded(t) not in PARTICLES])))]
         if particles and right.split()[0] in particles:  # "Given, van Family"
-            return [p for p in swapped if p[0]]
-        out = [(_core(a + particles), tuple(own))]
+            return [p for p in swapped if _core(p[0])]
+        out = [(particles + a, tuple(own))]
         if len(b) == 1 and own and len(own[0]) > 2 and len(a) <= 2:  # perhaps "Given, Family"
             out += swapped
-        return [p for p in out if p[0]]
+        return [p for p in out if _core(p[0])]
     # Without a comma: initials last, or given names first.
     tail: list[str] = []
     while len(a) > 1 and (got := _initials(a[-1], a[:-1])) is not None:
         tail, a = got + tail, a[:-1]
     if tail or len(a) == 1:
-        return [(_core(a), tuple(tail))] if _core(a) else []
+        return [(a, tuple(tail))] if _core(a) else []
     cut_at = len(a) - 1
     while cut_at > 1 and folded(a[cut_at - 1]) in PARTICLES:
         cut_at -= 1
-    return [p for p in [(_core(a[cut_at:]), tuple(_spelled(a[:cut_at])))] if p[0]]
+    return [p for p in [(a[cut_at:], tuple(_spelled(a[:cut_at])))] if _core(p[0])]
 
 
 def code(core: str) -> str:
@@ -169,10 +182,10 @@ def leads(given: tuple[str, ...]) -> set[str]:
     return {f[0] for f in FORMAL.get(given[0], (given[0],))}
 
 
-def blocks(core: str, given: tuple[str, ...]) -> list[str]:
-    """Block keys of a parse."""
+def blocks(core: str, given: tuple[str, ...], glued: str = "") -> list[str]:
+    """Block keys of a parse; glued: its core without separators."""
     out = set()
-    for head, mark in ((core, ""), *([(core.split("-")[0], "-" + core.split("-")[1][:1])] if "-" in core else [])):
+    for head, mark in ((core, ""), *([(glued, "")] if glued not in ("", core) else []), *([(core.split("-")[0], "-" + core.split("-")[1][:1])] if "-" in core else [])):
         c = code(head)
         for lead in leads(given):
             sizes = {n + i for n in (len(head), len(contracted(head))) for i in (0, 1)} if not mark else {0}
@@ -265,26 +278,34 @@ def same_given(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     return all(_same_word(x, y) for x, y in zip(a, b))
 
 
+def same_family(core_a: str, core_b: str, glued_a: str, glued_b: str) -> bool:
+    """Whether two parses have spellings of one core, with or without separators."""
+    return same_core(core_a, core_b) or same_core(glued_a, glued_b)
+
+
 def _parse_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in it:
         out = []
         for ident, name, family in zip(batch["ident"], batch["name"], batch["family"]):
-            for core, given in parses(name, bool(family)):
-                out.append((ident, bool(family), core, " ".join(given)))
-        yield pd.DataFrame(out, columns=["ident", "family", "core", "given"])
+            for tokens, given in _readings(name, bool(family)):
+                out.append((ident, bool(family), _core(tokens), _glued(tokens), " ".join(given)))
+        yield pd.DataFrame(out, columns=["ident", "family", "core", "glued", "given"])
 
 
 def _block_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in it:
-        rows = [(n, f, c, contracted(c), g, blocks(c, tuple(g.split()))) for n, f, c, g in zip(batch["node"], batch["family"], batch["core"], batch["given"])]
-        yield pd.DataFrame(rows, columns=["node", "family", "core", "short", "given", "keys"])
+        rows = [
+            (n, f, c, contracted(c), j, contracted(j), g, blocks(c, tuple(g.split()), j))
+            for n, f, c, j, g in zip(batch["node"], batch["family"], batch["core"], batch["glued"], batch["given"])
+        ]
+        yield pd.DataFrame(rows, columns=["node", "family", "core", "short", "glued", "glued_short", "given", "keys"])
 
 
 def _accept(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in it:
         ok = [
-            same_core(ca, cb) and (f or same_given(tuple(ga.split()), tuple(gb.split())))
-            for f, ca, cb, ga, gb in zip(batch["family"], batch["core_a"], batch["core_b"], batch["given_a"], batch["given_b"])
+            same_family(ca, cb, ja, jb) and (f or same_given(tuple(ga.split()), tuple(gb.split())))
+            for f, ca, cb, ja, jb, ga, gb in zip(*(batch[c] for c in ("family", "core_a", "core_b", "glued_a", "glued_b", "given_a", "given_b")))
         ]
         yield batch.loc[ok, ["node_a", "node_b"]]
 
@@ -298,15 +319,17 @@ def variants(names: DataFrame) -> DataFrame:
     read in two ways ("Given, Family") is linked in both."""
     strings = names.where("name IS NOT NULL").groupBy("field", "name").agg(F.max("family").alias("family"))
     strings = cut(strings.withColumn("ident", F.xxhash64("field", "name")))
-    read = spread(strings.select("ident", "name", "family")).mapInPandas(_parse_rows, "ident long, family boolean, core string, given string")
-    read = cut(read.join(strings.select("ident", "field"), "ident").withColumn("node", F.xxhash64(F.lit("parse"), "field", "core", "given")))
-    nodes = spread(read.select("node", "family", "core", "given", "field").distinct(), "node")
-    keyed = nodes.select("node", "family", "core", "given").mapInPandas(_block_rows, "node long, family boolean, core string, short string, given string, keys array<string>")
-    keyed = cut(keyed.select("node", "family", "core", "short", "given", F.explode("keys").alias("block")).withColumn("block", F.xxhash64("family", "block")))
-    a, b = (keyed.select("block", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "core", "short", "given")], *(["family"] if x == "a" else [])) for x in "ab")
-    close = (F.levenshtein("core_a", "core_b", 2) >= 0) | (F.levenshtein("short_a", "short_b", 2) >= 0) | F.col("core_a").contains("-")
+    read = spread(strings.select("ident", "name", "family")).mapInPandas(_parse_rows, "ident long, family boolean, core string, glued string, given string")
+    read = cut(read.join(strings.select("ident", "field"), "ident").withColumn("node", F.xxhash64(F.lit("parse"), "field", "core", "glued", "given")))
+    nodes = spread(read.select("node", "family", "core", "glued", "given", "field").distinct(), "node")
+    keyed = nodes.select("node", "family", "core", "glued", "given").mapInPandas(_block_rows, "node long, family boolean, core string, short string, glued string, glued_short string, given string, keys array<string>")
+    keyed = cut(keyed.select("node", "family", "core", "short", "glued", "glued_short", "given", F.explode("keys").alias("block")).withColumn("block", F.xxhash64("family", "block")))
+    a, b = (keyed.select("block", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "core", "short", "glued", "glued_short", "given")], *(["family"] if x == "a" else [])) for x in "ab")
+    close = F.col("core_a").contains("-")
+    for c in ("core", "short", "glued", "glued_short"):
+        close |= F.levenshtein(f"{c}_a", f"{c}_b", 2) >= 0
     pairs = a.join(b, "block").where((F.col("node_a") < F.col("node_b")) & close)
-    pairs = pairs.groupBy("node_a", "node_b").agg(*[F.first(c).alias(c) for c in ("family", "core_a", "core_b", "given_a", "given_b")])
+    pairs = pairs.groupBy("node_a", "node_b").agg(*[F.first(c).alias(c) for c in ("family", "core_a", "core_b", "glued_a", "glued_b", "given_a", "given_b")])
     linked = pairs.mapInPandas(_accept, "node_a long, node_b long")
     edges = linked.unionByName(read.select(F.col("ident").alias("node_a"), F.col("node").alias("node_b")))
     of = components(edges, "node_a", "node_b")

@@ -81,5 +81,19 @@ def test_variants(spark):
     assert got == {frozenset(p) for g in (m, c, ["Sodeñdinnik", "Sodendinnik", "SODEÑDINNIK"]) for p in combinations(g, 2)}
 
 
+def test_separators_within_a_family_name_do_not_matter(spark):
+    groups = [
+        ("fam", True, ["de la Flaimarersson", "delaFlaimarersson", "dela Flaimarersson", "de la Flaimarerson"]),
+        ("fam", True, ["Krandadisto-Hortop", "Krandadisto Hortop", "KrandadistoHortop", "Krandadisto Hortp"]),
+        ("authors", False, ["van der Shorkaigelski, Q.", "vanderShorkaigelski, Q.", "Shorkaigelski, Q. van der", "Q. van der Shorkaigelski"]),
+        ("authors", False, ["von Higailmighan, S. R.", "vonHigailmighan, S. R.", "Sanna R. von Higailmighan"]),
+        ("authors", False, ["Krandadisto-Hortop, M.", "Krandadisto Hortop, M."]),
+    ]
+    others = [("fam", "Hortop", True), ("fam", "Flaimarersson", True), ("authors", "Hortop, M.", False), ("authors", "von Higailmighan, T.", False)]
+    rows = [(field, n, family) for field, family, names in groups for n in names] + others
+    got = pairs(variants(spark.createDataFrame(rows, "field string, name string, family boolean")).collect())
+    assert got == {frozenset(p) for _, _, names in groups for p in combinations(names, 2)}
+
+
 def test_variants_of_nothing(spark):
     assert variants(spark.createDataFrame([], "field string, name string, family boolean")).count() == 0
