@@ -10,8 +10,8 @@ from limits the prior is the source's share of cuts at any length.
 The posterior is combined with the evidence of the ending: how often, in all
 passages, the last words' context ends a sentence and how often it goes on,
 whether the passage ends in a stop, and whether its last segment is of a kind
-that has no stop anyway (key words, a registration number). These counts are over
-all passages, aggregated by context and joined back to the passages' endings."""
+that has no stop anyway (key words, a registration number), as its label or first
+word ends without one more often than with one. These counts are over all passages, aggregated by context and joined back to the passages' endings."""
 
 from __future__ import annotations
 
@@ -33,6 +33,8 @@ BELOW = 16
 #: Share of complete passages that have no full stop; strength of the prior of
 #: a context's counts, and its mean.
 STOPLESS, WEIGHT, MEAN = 0.01, 2.0, 0.08
+#: Segments of a kind from which on it tells whether they have a stop.
+FEW = 3
 
 _STOP = re.compile(r"[.!?。！？][\"”’'»)\]]*$")
 _ELLIPSIS = re.compile(r"(?:…|\.\.\.|[(\[](?:truncated|more|cont(?:inued|d?\.)?)[)\]]|\bread more)[\"”)\]]*$", re.I)
@@ -83,6 +85,11 @@ def _head(segment: str) -> str:
     return "h|" + (segment[:2] if ord(segment[0]) > 0x2E80 else _word(" ".join(words[:1])))
 
 
+def _label(segment: str) -> str:
+    """Key of the words before an early colon; empty where there are none."""
+    return "l|" + _word(segment.partition(":")[0]) if _LABEL.match(segment) else ""
+
+
 def _inner(segment: str) -> list[str]:
     return [t for t in _TOKEN.findall(segment)]
 
@@ -96,14 +103,15 @@ def _bare(tokens: list[str]) -> list[str]:
 
 def _counts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(context, ends, goes on) summed within a batch. A passage's last segment
-    counts as an end only with a stop; without one, it counts for its head."""
+    counts as an end only with a stop; without one, it counts for its head and label."""
     for batch in it:
         ends, inner = Counter(), Counter()
         for text in batch["text"]:
             segments = _segments(text)
             for k, s in enumerate(segments):
                 closed = bool(_STOP.search(s)) and not _ELLIPSIS.search(s)
-                (ends if closed else inner)[_head(s)] += 1
+                for kind in filter(None, (_head(s), _label(s))):
+                    (ends if closed else inner)[kind] += 1
                 tokens = _bare(_inner(s))
                 for i in range(len(tokens) - 1):
                     inner.update(_contexts(tokens, i))
@@ -122,9 +130,9 @@ def _endings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys = _contexts(tokens, len(tokens) - 1) if tokens else []
             word = tokens[-1].lower() if tokens else ""
             form = "ellipsis" if _ELLIPSIS.search(text) else "abbreviation" if text.endswith(".") and word in ABBREVIATIONS else "stop" if _STOP.search(text) else "entity" if re.search(r"&#?\w{0,8}$|<[^<>]{0,60}$", text) else "open"
-            tail = bool(_LABEL.match(last) or _QUOTED.match(last))
-            out.append((key, form, tail, len(_segments(text)), [_head(last), *keys] if last else []))
-        yield pd.DataFrame(out, columns=["k", "form", "tail", "segments", "keys"])
+            label = _label(last)
+            out.append((key, form, bool(_QUOTED.match(last)), bool(label), len(_segments(text)), [_head(last), *([label] if label else []), *keys] if last else []))
+        yield pd.DataFrame(out, columns=["k", "form", "quoted", "label", "segments", "keys"])
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, open_: np.ndarray) -> dict:
@@ -202,10 +210,15 @@ def detect(texts: DataFrame, key: str, source: str, text: str) -> DataFrame:
     rows = cut(rows)
     counted = rows.select("text").mapInPandas(_counts, "context string, ends long, inside long").groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
     kind = rows.schema["k"].dataType.simpleString()
-    ended = cut(rows.select("k", "text").mapInPandas(_endings, f"k {kind}, form string, tail boolean, segments int, keys array<string>"))
+    ended = cut(rows.select("k", "text").mapInPandas(_endings, f"k {kind}, form string, quoted boolean, label boolean, segments int, keys array<string>"))
     looked = ended.select("k", F.posexplode_outer("keys").alias("pos", "context")).join(counted, "context", "left")
     looked = looked.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("inside", F.lit(0)).alias("inside")))).alias("seen"))
-    joined = cut(rows.select("k", "source", F.length("text").alias("length")).join(ended.drop("keys"), "k").join(looked, "k"))
+    joined = rows.select("k", "source", F.length("text").alias("length")).join(ended.drop("keys"), "k").join(looked, "k")
+    # How often segments of the last one's kind end and do not: those of its label, of a rare label those of its first word.
+    head, label = F.get("seen", F.lit(0)), F.get("seen", F.lit(1))
+    of_kind = F.when(F.col("label") & (label["ends"] + label["inside"] >= FEW), label).otherwise(head)
+    joined = joined.withColumn("kind", of_kind).withColumn("seen", F.concat(F.array("kind"), F.slice("seen", F.when(F.col("label"), 3).otherwise(2), F.size("seen"))))
+    joined = cut(joined.withColumn("tail", F.col("quoted") | F.col("label") & (F.col("kind.inside") > F.col("kind.ends"))).drop("kind", "quoted", "label"))
     # Lengths by source, of those whose ending is open: a histogram of bounded size.
     is_open = F.col("form").isin("open", "entity", "ellipsis") & ~F.col("tail")
     shape = joined.groupBy("source", F.least("length", F.lit(100_000)).alias("length")).agg(F.count("*").alias("n"), F.sum(is_open.cast("long")).alias("o"))
@@ -236,7 +249,7 @@ def detect(texts: DataFrame, key: str, source: str, text: str) -> DataFrame:
 
 def posterior(prior: float, form: str, tail: bool, segments: int, seen: list[tuple[int, int]]) -> float:
     """Probability that a passage is cut, by its prior and its ending. seen: for
-    the last segment's head and the ending's contexts from the most specific,
+    the last segment's label or head and the ending's contexts from the most specific,
     how often they end and how often they go on."""
     if form in ("ellipsis", "entity"):
         return 0.99
@@ -255,7 +268,7 @@ def posterior(prior: float, form: str, tail: bool, segments: int, seen: list[tup
             odds *= ratio * 2
             return odds / (1 + odds)
         return min(0.01, odds * 0.01)
-    if tail and segments > 1 or unclosed >= 3 and unclosed > closed:
+    if tail and segments > 1 or unclosed >= FEW and unclosed > closed:
         odds *= 0.01  # kinds of segments that have no stop
         return odds / (1 + odds)
     odds *= ratio / STOPLESS

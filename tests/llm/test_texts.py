@@ -38,6 +38,25 @@ class TestTruncation:
     def test_nothing(self, spark):
         assert truncation.detect(spark.createDataFrame([], "k long, source string, text string"), "k", "source", "text").count() == 0
 
+    def test_a_colon_alone_makes_no_label(self, spark):
+        rng, rows, cut, labelled = random.Random(3), [], set(), set()
+        for i in range(900):
+            t = " ".join(rng.choice([*SENTENCES, "Certainty was rated low: many reports of older carers met no threshold at all."]) for _ in range(rng.randrange(3, 12)))
+            if i % 2 and len(t) > 400:
+                t = t[:400].rstrip()
+                if not t.endswith("."):
+                    cut.add(i)
+                    if "low: " in t.rsplit(". ", 1)[-1]:
+                        labelled.add(i)
+            elif i % 9 == 0:
+                t += " Keywords: drug; pressure; score"
+            elif i == 2:
+                t += " Registration: ABC 17"  # a rare label is one all the same
+            rows.append((i, "ab"[i % 2], t))
+        got = truncation.detect(spark.createDataFrame(rows, "k long, source string, text string"), "k", "source", "text")
+        found = {r.k for r in got.where("truncated").collect()}
+        assert len(labelled) > 10 and labelled <= found and 2 not in found and len(found & cut) >= 0.97 * len(cut) and len(found - cut) <= 2
+
     def test_fit_recovers_a_limit(self):
         rng = np.random.default_rng(0)
         x = np.exp(rng.normal(6, 0.5, 4000)).astype(int)
