@@ -213,3 +213,11 @@ class TestEncodings:
         assert got == {100: (self.CLEAN[0], False), 101: (None, True)}
         empty = docs.limit(0)
         assert encodings.find(empty, "doc_id", "text", encodings.dictionaries(empty)).count() == 0
+
+    def test_scripts_outside_the_sample_are_known(self, spark):
+        rare = "ملخص النتائج غير واضح للمرضى"
+        rows = [(i, "fr", f"{self.CLEAN[0]} {i}") for i in range(50)] + [(100, None, f"{rare} بعد"), (101, "fr", "Résumé : " + rare.encode().decode("latin-1")), (102, "fr", f"{self.CLEAN[0]} " * 200 + "תקציר")]
+        docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+        fitted = encodings.dictionaries(docs)
+        assert {"ARABIC", "HEBREW"} <= fitted[2]
+        assert {r.doc_id: r.repaired for r in encodings.find(docs, "doc_id", "text", fitted).collect()} == {101: "Résumé : " + rare}
