@@ -7,7 +7,8 @@ of all matches of at least SEED words. Documents and test texts that share enoug
 of them are aligned word by word, which finds altered passages too: a passage
 counts if it has at least PASSAGE words of the test text, of which at least KEPT
 are in the document in the same order and near one another, and among them at
-least half of the words that few other test texts have.
+least half of the words that few other test texts have. A verbatim run of PASSAGE
+words counts whatever words it has.
 
 Test texts are a stated query set: they are read in blocks of bounded size and
 each block is sent to all shards. Words that no test text has are one id, as no
@@ -201,8 +202,8 @@ def _shard(keys: list, seqs: list[list[int]], tests: Tests) -> list[tuple]:
         for _, a, n in found:
             covered.update(range(a, a + n))
         mine = {test[a] for a in covered if tests.own[test[a]]}
-        hit = False
-        if len(test) >= PASSAGE and len(covered) >= 6 and len(mine) >= 2 or longest >= PASSAGE:
+        hit = longest >= PASSAGE
+        if not hit and len(test) >= PASSAGE and len(covered) >= 6 and len(mine) >= 2:
             # The places where the test text would begin; each stretch of the document is aligned once.
             spans: list[list[int]] = []
             for p, a, _ in sorted(found):

@@ -143,6 +143,14 @@ class TestLeaks:
         docs, items = spark.createDataFrame([(1, "x y z")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
         assert leaks.matches(docs, items).count() == 0 and leaks.matches(docs.limit(0), items).count() == 0
 
+    def test_verbatim_run_of_common_words(self, spark):
+        rng, common = random.Random(4), [f"common{i}" for i in range(40)]
+        items = [(i, " ".join(rng.sample(common, 40))) for i in range(20)]
+        w = items[3][1].split()
+        docs = [(1, f"As noted, {' '.join(w[5:20])}, and so on."), (2, f"As noted, {' '.join(w[5:19])}, and so on.")]
+        got = leaks.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        assert {(r.doc_id, r.item_id, r.longest) for r in got.where("leaked").collect()} == {(1, 3, 15)}
+
     def test_suffix_array_and_search_against_brute_force(self):
         rng = random.Random(1)
         texts = [(i, " ".join(rng.choice("abcdef") for _ in range(12))) for i in range(5)]
