@@ -16,11 +16,16 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def words(text: Column) -> Column:
-    """Distinct lower-cased words of a text, without markup and punctuation,
-    in order of first occurrence; an empty list for null."""
+def word_list(text: Column) -> Column:
+    """Lower-cased words of a text in order, repeats too, without markup and
+    punctuation; an empty list for null."""
     parts = F.split(F.regexp_replace(F.lower(plain(F.coalesce(text, F.lit("")))), WORD_BREAK, " "), " ")
-    return F.array_distinct(F.filter(parts, lambda w: w != ""))
+    return F.filter(parts, lambda w: w != "")
+
+
+def words(text: Column) -> Column:
+    """The distinct words of ``word_list`` in order of first occurrence."""
+    return F.array_distinct(word_list(text))
 
 
 def doi_key(raw: Column) -> Column:

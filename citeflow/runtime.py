@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group as files have them by default.
+ROW_GROUP = 128 << 20
 
-def session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+
+def session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g", checkpoint_dir: str | None = None) -> SparkSession:
     """A session with the settings the engine is written for: AQE with skew
-    joins, UTC, Arrow."""
+    joins, UTC, Arrow. checkpoint_dir: a folder that all executors share; a
+    local master gets a temporary one."""
+    if checkpoint_dir is None and master.startswith("local["):
+        checkpoint_dir = tempfile.mkdtemp(prefix="citeflow-checkpoint-")
+    builder = SparkSession.builder.master(master)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = (
-        SparkSession.builder.master(master)
-        .appName("citeflow")
+        builder.appName("citeflow")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -49,24 +58,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint, written to the folder that
-    the cluster names in ``spark.checkpoint.dir``. Only where that setting is
-    absent (tests, a laptop) a temporary folder is used."""
-    spark = df.sparkSession
-    ship(spark)
+def checkpoints(spark: SparkSession) -> None:
+    """Sets the checkpoint folder of the context, if it has none: the one that
+    the session names in ``spark.checkpoint.dir``. Where that is unset a
+    temporary folder serves a local master alone; on a cluster, where no other
+    machine could read it, that is an error."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="citeflow-checkpoint-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="citeflow-checkpoint-")
+    sc.setCheckpointDir(named)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint, see ``checkpoints``."""
+    ship(df.sparkSession)
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def splits(df: DataFrame) -> int:
+    """Tasks among which the rows of a plan that only scans files come divided.
+    A split of a file counts if a row group of the usual size can lie in it."""
+    files = len(df.inputFiles())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return min(df._jdf.rdd().getNumPartitions(), max(files, size // ROW_GROUP))
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Rows spread over as many partitions as the session's shuffles have.
-    For stages that do much work for each row of a small file, which a scan
-    would leave in one task."""
-    ship(df.sparkSession)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(n, df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n, *cols) if cols else df.repartition(n)
+    """Rows divided among as many tasks as the session has cores, at least, for
+    stages that do much work for each row. With cols, rows of equal values meet.
+
+    Without cols, only a scan that has fewer splits than cores is shuffled; that
+    moves at most a row group for each core, whatever the input. A larger scan
+    has splits enough and is left as it is."""
+    spark = df.sparkSession
+    ship(spark)
+    cores = spark.sparkContext.defaultParallelism
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
+    if cols:
+        return df.repartition(n, *cols)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df if size >= 2 * cores * ROW_GROUP or splits(df) >= cores else df.repartition(n)

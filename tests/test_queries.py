@@ -59,3 +59,14 @@ def test_core_does_not_import_the_subpackage():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any(n.startswith("citeflow.llm") for n in names), path
+
+
+def test_core_queries_remain_without_a_library_of_the_subpackage(monkeypatch):
+    import sys
+
+    for name in [n for n in sys.modules if n.startswith("citeflow.llm") or n == "zstandard"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    with pytest.warns(UserWarning, match="left out"):
+        names = set(__spark_entry__.queries())
+    assert names == {n for n, _ in CORE}
