@@ -2,35 +2,55 @@
 
 Each distinct word of a record is hashed to one bit of one of m bands; a band is
 the XOR of its words' bits. Two records whose word sets differ by d words differ
-in at most d bits, so in at most d bands: the Hamming distance of the sketches
-is a lower bound of the symmetric difference. Jaccard similarity t of sets of
-sizes a and b means a symmetric difference of at most k = (1-t)/(1+t) (a+b).
+in at most d bits: the Hamming distance of the sketches is a lower bound of the
+symmetric difference. Sketches are kept sparse, as their non-zero bands.
 
-Pigeonhole: of m bands at least m-k are equal. So, under one order of all band
-values, the first k+1 bands of both records have one in common. The order is by
-frequency, rarest first, as a bounded hashed histogram counts it; the join then
-meets only values that few records share, and no bucket is capped. Joined pairs
-must pass the folded sketch's Hamming distance and then the exact similarity.
+Pigeonhole: sets A and B of Jaccard similarity t share at least t|A| words, so at
+most x = |A| - t|A| words of A are not in B. A band of A that B does not repeat
+holds one of them, or B has a second word in it; if no record has more than c
+bands of several words, A and B have all but x+c of A's bands in common. Under
+one order of all band values, rarest first, the first x+c+l bands of A and of B
+therefore both hold the l first common ones, for each l up to what A and B must
+share at least.
 
-Records of equal word sets are one representative before the join, so a group
-of copies of any size costs one row; copies come back as links to it."""
+The join goes by levels. At level 1 records meet by one band value of their
+first x+c+1; a value that more than FEW records have is hot and is not joined
+but extended: at level l+1 its records meet by it and a further band value of
+their first x+c+l+1, and so on. A pair that has a common value that is not hot
+has met; one whose common values are all hot meets at a later level. So no group
+that is joined is larger than FEW and no pair is lost. Records whose guaranteed
+overlap ends at a level, and all at the last one, are compared there within their
+hot group, cut into blocks that are spread over tasks.
+
+Joined pairs must pass the folded sketch's Hamming distance and then the exact
+similarity. Records of equal word sets are one representative before the join,
+so a group of copies of any size costs one row; copies come back as links to it."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeflow.graph import components
 from citeflow.runtime import cut
 
-#: Bands of a sketch for records of up to BANDS // 4 words; longer ones have
-#: the next power of two that is four times their size band's upper end.
-BANDS = 256
-#: Cells of the histogram that gives the order: its size, about 1 MB, does not
+#: Least binary logarithm of the number of bands; sketches of longer records have
+#: more, so that few records have two words in a band.
+BANDS = 20
+#: Records that may meet by one (composite) band value; more make it hot.
+FEW = 32
+#: Band values that are combined at most.
+LEVELS = 8
+#: Words that a task sketches at a time.
+WORDS = 1 << 20
+#: Cells of the histogram that gives the order: its size, half a MB, does not
 #: depend on the data.
-CELLS = 1 << 16
+CELLS = 1 << 17
 
 
 def size_bands(threshold: float, longest: int) -> list[int]:
@@ -43,73 +63,173 @@ def size_bands(threshold: float, longest: int) -> list[int]:
 
 
 def representatives(docs: DataFrame, key: str, tokens: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """(reps, links): one row for each distinct word set of at least ``least``
-    words: rid (its least key), n, toks (sorted hashes); and (key, rid) of every
-    record."""
-    hashed = docs.select(F.col(key).alias("k"), F.array_sort(F.transform(F.array_distinct(tokens), lambda w: F.xxhash64(w))).alias("toks"))
-    hashed = hashed.where((F.size("toks") >= least) & F.col("k").isNotNull())
-    # Two hashes of the whole set, of 64 bits each, stand for it as a group key.
+    """(reps, links): one row for each distinct word set of records of at least
+    ``least`` words, repeats counted: rid (its least key), n, toks (sorted
+    hashes); and (key, rid) of every record."""
+    long = docs.where((F.size(tokens) >= least) & F.col(key).isNotNull())
+    hashed = long.select(F.col(key).alias("k"), F.array_sort(F.transform(F.array_distinct(tokens), lambda w: F.xxhash64(w))).alias("toks"))
+    # Two hashes of the whole set, of 96 bits together, stand for it as a group key.
     hashed = hashed.select("k", "toks", F.xxhash64("toks").alias("h1"), F.hash("toks", F.lit(7)).alias("h2"))
     reps = cut(hashed.groupBy("h1", "h2").agg(F.min("k").alias("rid"), F.min_by("toks", "k").alias("toks")))
     links = hashed.select("k", "h1", "h2").distinct().join(reps.select("h1", "h2", "rid"), ["h1", "h2"]).select("k", "rid")
-    return reps.select("rid", F.size("toks").alias("n"), "toks"), links
+    return reps.select("rid", F.size("toks").alias("n"), "toks", "h1", "h2"), links
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit integers (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _sketched(words: np.ndarray, starts: np.ndarray, zones: np.ndarray, m: np.ndarray, freq: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each record (its words begin at ``starts``): bands of several words,
+    non-zero bands, the two halves of the folded sketch, and the first ``most``
+    band values in the common order as (values, how many). Bands of several
+    words come last in the order, as their value is not that of a word."""
+    n, owner = len(starts), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
+    band, bit = words % m[owner], np.uint64(1) << ((words >> np.uint64(40)) % np.uint64(63))
+    by_band = np.lexsort((band, owner))
+    heads = np.flatnonzero(np.append(True, (np.diff(owner[by_band]) != 0) | (np.diff(band[by_band]) != 0)))
+    value, size = np.bitwise_xor.reduceat(bit[by_band], heads), np.diff(np.append(heads, len(words)))
+    owner, band, first = owner[by_band][heads], band[by_band][heads], by_band[heads]
+    many = size > 1
+    rank = np.where(many, 1 << 40, freq[first])
+    half = band % np.uint64(2)
+    s = []
+    for h in (0, 1):
+        fold = np.zeros(n, dtype=np.uint64)
+        np.bitwise_xor.at(fold, owner, np.where(half == h, value, np.uint64(0)))
+        s.append(fold.view(np.int64))
+    key = _mixed(_mixed(band * np.uint64(64) + zones[owner].astype(np.uint64)) ^ value)
+    held = np.flatnonzero(value != 0)
+    held = held[np.lexsort((key[held], rank[held], owner[held]))]
+    counts = np.bincount(owner[held], minlength=n)
+    place = np.arange(len(held)) - np.repeat(np.cumsum(counts) - counts, counts)
+    used = held[place < most[owner[held]]]
+    return np.bincount(owner, weights=many, minlength=n).astype(np.int32), counts.astype(np.int32), *s, key[used].view(np.int64), np.minimum(counts, most)
 
 
-def sketch_keys(reps: DataFrame, threshold: float) -> DataFrame:
-    """(key, rid, n, s0, s1): the band values to join on, and the sketch folded
-    to 128 bits."""
+def sketches(reps: DataFrame, threshold: float, extra: int | None = None) -> DataFrame:
+    """(rid, n, zone, native, spare, sure, keys, s0, s1): each record in its own
+    size band (native) and in the next, where it meets the longer ones: how many
+    of its band values a similar record may lack (x+c), how many both have for
+    certain, the first band values in the common order, and the sketch folded to
+    128 bits. extra: room for c, twice LEVELS by default."""
+    extra = 2 * LEVELS if extra is None else extra
     longest = reps.agg(F.max("n")).head()[0] or 1
-    ends = size_bands(threshold, longest)
-    ratio = (1 - threshold) / (1 + threshold)
-
-    def above(n: Column, values: list[int]) -> Column:  # by the size band's index
-        return F.element_at(F.array(*[F.lit(v) for v in values]), n)
-
-    band_of = F.aggregate(F.array(*[F.lit(e) for e in ends]), F.lit(1), lambda acc, e: acc + F.when(e < F.col("n"), 1).otherwise(0))
-    counts = [max(BANDS, 1 << math.ceil(math.log2(4 * e))) for e in ends] + [0]
-    counts[-1] = counts[-2] * 2
-    # A record joins in its own size band and the next: neighbours meet in the larger one's.
-    rows = (
-        reps.withColumn("own", band_of)
-        .withColumn("zone", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-        .withColumn("m", above(F.col("zone"), counts).cast("long"))
-        .withColumn("prefix", (F.floor(ratio * (F.col("n") + F.col("n") / threshold) + 1e-9) + 1).cast("int"))
-        .select("rid", "n", "zone", "m", "prefix", F.explode("toks").alias("w"))
-        .select("rid", "n", "zone", "m", "prefix", F.expr("pmod(w, m)").alias("band"), F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(w, 40), 63) AS INT))").alias("bit"))
-    )
-    words = (
-        rows.repartition("rid")
-        .groupBy("rid", "n", "zone", "m", "prefix", "band").agg(F.bit_xor("bit").alias("word"))
-        .withColumn("key", F.xxhash64("zone", "band", "word"))
-    )
-    words = cut(words)
-    cells = words.where("word <> 0").groupBy(F.pmod(F.xxhash64("band", "word"), F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("freq"))
-    ranked = words.withColumn("cell", F.when(F.col("word") != 0, F.pmod(F.xxhash64("band", "word"), F.lit(CELLS)))).join(F.broadcast(cells), "cell", "left")
-    fold = lambda half: F.bit_xor(F.when(F.pmod(F.col("band"), F.lit(2)) == half, F.col("word")).otherwise(F.lit(0).cast("long")))
-    per = ranked.groupBy("rid", "n", "zone", "m", "prefix").agg(
-        F.array_sort(F.collect_list(F.when(F.col("word") != 0, F.struct("freq", "band", "key")))).alias("own"), fold(0).alias("s0"), fold(1).alias("s1")
-    )
-    first = F.slice(F.transform("own", lambda x: x["key"]), 1, F.col("prefix"))
-    # Bands of value 0 are last in the order, by their number; they count only
-    # where a record has too few others.
-    used = F.transform("own", lambda x: x["band"])
-    zeros = F.slice(
-        F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), used), lambda b: F.xxhash64("zone", b, F.lit(0).cast("long"))),
-        1, F.greatest(F.lit(0), F.col("prefix") - F.size("own")),
-    )
-    keys = F.when(F.size("own") >= F.col("prefix"), first).otherwise(F.concat(first, zeros))
-    return per.select(F.explode(keys).alias("key"), "rid", "n", "s0", "s1")
+    ends = np.array(size_bands(threshold, longest))
+    logs = [max(BANDS, math.ceil(math.log2(64 * e * e))) for e in ends.tolist()]
+    bands = np.array([1 << x for x in [*logs, logs[-1] + 1]], dtype=np.uint64)
+    cells = reps.select(F.explode("toks").alias("w")).groupBy(F.pmod("w", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("freq")).toArrow()
+    freq = np.zeros(CELLS, dtype=np.int64)
+    freq[cells["cell"].to_numpy()] = cells["freq"].to_numpy()
+    sc = reps.sparkSession.sparkContext
+    shared = sc.broadcast(np.minimum(freq, (1 << 31) - 1).astype(np.int32))
+    kind = reps.schema["rid"].dataType.simpleString()
+
+    def part(rid: pa.Array, toks: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        lengths = np.diff(toks.offsets.to_numpy())
+        words = toks.flatten().to_numpy().view(np.uint64)
+        starts = np.cumsum(lengths) - lengths
+        weight = shared.value[(words.view(np.int64) % CELLS)]
+        own = np.searchsorted(ends, lengths)
+        lack = lengths - np.ceil(threshold * lengths - 1e-9).astype(np.int64)
+        for native in (True, False):
+            zone = own + (not native)
+            many, held, s0, s1, keys, sizes = _sketched(words, starts, zone, bands[zone], weight, lack + LEVELS + extra)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(keys))
+            yield pa.RecordBatch.from_arrays(
+                [rid, pa.array(lengths.astype(np.int32)), pa.array(zone.astype(np.int32)), pa.array([native] * len(rid)), pa.array(lack.astype(np.int32)), pa.array(many), pa.array(held), lists, pa.array(s0), pa.array(s1)],
+                ["rid", "n", "zone", "native", "lack", "many", "held", "keys", "s0", "s1"],
+            )
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rid, toks = batch.column(0), batch.column(1)
+            ends_at = toks.offsets.to_numpy()
+            lo = 0
+            while lo < len(rid):  # as many records at a time as have about WORDS words
+                hi = max(lo + 1, int(np.searchsorted(ends_at, ends_at[lo] + WORDS, side="right")) - 1)
+                rows = batch.slice(lo, hi - lo)
+                yield from part(rows.column(0), pa.array(rows.column(1).to_pylist(), toks.type) if rows.column(1).null_count else pa.concat_arrays([rows.column(1)]))
+                lo = hi
+
+    schema = f"rid {kind}, n int, zone int, native boolean, lack int, many int, held int, keys array<bigint>, s0 bigint, s1 bigint"
+    made = cut(reps.select("rid", "toks").mapInArrow(run, schema))
+    most = {r[0]: r[1] for r in made.groupBy("zone").agg(F.max("many")).collect()}  # a row for each size band
+    if max(most.values(), default=0) > extra:
+        return sketches(reps, threshold, max(most.values()))
+    several = F.element_at(F.array(*[F.lit(most.get(i, 0)) for i in range(len(bands))]), F.col("zone") + 1)
+    made = made.withColumn("spare", F.col("lack") + several)
+    return made.select("rid", "n", "zone", "native", "spare", (F.col("held") - F.col("spare")).alias("sure"), "keys", "s0", "s1")
+
+
+_SIDE = ("rid", "n", "native", "s0", "s1")
+
+
+def _near(threshold: float) -> Column:
+    """What a pair (a, b) of one size band must pass before it is compared: one
+    side at home in the band, sizes and sketches near enough."""
+    total = F.col("n_a") + F.col("n_b")
+    apart = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
+    sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    return (F.col("rid_a") < F.col("rid_b")) & (F.col("native_a") | F.col("native_b")) & sizes & (apart <= (1 - threshold) / (1 + threshold) * total + 1e-9)
+
+
+def _blocked(rows: DataFrame, ends: Column, threshold: float) -> DataFrame:
+    """Pairs within hot groups of which at least one record ends here: the group
+    is cut into blocks of about FEW and each two blocks meet in a group of their
+    own, so no task has the group alone."""
+    rows = rows.withColumn("ends", ends)
+    rows = rows.join(rows.where("ends").select("path").distinct(), "path", "left_semi")
+    blocks = F.ceil(F.col("freq") / FEW).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    a, b = (rows.select("path", "low", "high", *[F.col(c).alias(f"{c}_{x}") for c in (*_SIDE, "block", "ends")]) for x in "ab")
+    once = (F.col("block_a") != F.col("block_b")) | (F.col("low") == F.col("high"))
+    return a.join(b, ["path", "low", "high"]).where((F.col("ends_a") | F.col("ends_b")) & once & _near(threshold)).select("rid_a", "rid_b")
+
+
+def candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """(rid_a, rid_b), rid_a < rid_b, of pairs to compare, some of them twice:
+    all that are similar, and others."""
+    recs = sketches(reps, threshold)
+    loose = recs.where("sure <= 0").limit(1).count() > 0  # no band value for certain: these meet their whole size band
+    first = 0 if loose else 1
+    keep = [*_SIDE, "zone", "spare", "sure"]
+    if loose:
+        rows = recs.select(F.xxhash64("zone").alias("path"), F.lit(-1).alias("at"), *keep)
+    else:
+        rows = recs.select(F.posexplode(F.slice("keys", F.lit(1), F.col("spare") + 1)).alias("at", "path"), *keep)
+    found: list[DataFrame] = []
+    for level in range(first, LEVELS + 1):
+        hot = rows.groupBy("path").agg(F.count("*").alias("freq")).where(F.col("freq") > FEW)
+        now = cut(rows.join(hot, "path", "left"))
+        a, b = (now.where("freq IS NULL").select("path", *[F.col(c).alias(f"{c}_{x}") for c in _SIDE]) for x in "ab")
+        found.append(a.join(b, "path").where(_near(threshold)).select("rid_a", "rid_b"))
+        over = now.where("freq IS NOT NULL")
+        ends = F.lit(level == LEVELS) | (F.col("sure") <= level)
+        hot_rows, ending = over.agg(F.count("*"), F.count_if(ends)).head()
+        if ending:
+            found.append(_blocked(over, ends, threshold))
+        if hot_rows == 0:
+            break
+        if level < LEVELS:
+            more = over.where(F.col("sure") > level).join(recs.select("rid", "zone", "keys"), ["rid", "zone"])
+            tail = F.slice("keys", F.col("at") + 2, F.greatest(F.lit(0), F.col("spare") + level - F.col("at")))
+            more = more.select(F.posexplode(tail).alias("step", "value"), F.col("at").alias("before"), F.col("path").alias("way"), *keep)
+            rows = more.select(F.xxhash64("way", "value").alias("path"), (F.col("before") + 1 + F.col("step")).alias("at"), *keep)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def similar(reps: DataFrame, threshold: float) -> DataFrame:
     """(rid_a, rid_b, similarity) of all representatives of at least that
     Jaccard similarity, rid_a < rid_b."""
-    keys = cut(sketch_keys(reps, threshold))
-    a, b = (keys.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rid", "n", "s0", "s1")]) for x in "ab")
-    bound = (1 - threshold) / (1 + threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9
-    near = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) <= bound
-    ratio = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    pairs = a.join(b, "key").where((F.col("rid_a") < F.col("rid_b")) & ratio & near).select("rid_a", "rid_b").distinct()
+    pairs = candidates(reps, threshold).distinct()
     left, right = (reps.select(F.col("rid").alias(f"rid_{x}"), F.col("toks").alias(f"toks_{x}")) for x in "ab")
     both = F.size(F.array_intersect("toks_a", "toks_b"))
     return (
@@ -122,12 +242,12 @@ def similar(reps: DataFrame, threshold: float) -> DataFrame:
 def groups(docs: DataFrame, key: str, tokens: str, threshold: float, least: int, same: DataFrame | None = None) -> DataFrame:
     """(key, component) of each record that has a near-duplicate.
 
-    docs: key (long; rows of one key are one record), tokens (array of words;
-    null counts as empty; fewer than ``least`` distinct words: no case). same:
+    docs: key (long; rows of one key are one record), tokens (array of words in
+    order, repeats too; null counts as empty; fewer than ``least`` words: no
+    case). same:
     further links (a, b) between keys, such as equal identifiers. Empty input
     gives an empty result; records alone in their group have no row."""
     reps, links = representatives(docs, key, tokens, least)
-    reps = cut(reps)
     edges = similar(reps, threshold).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
     edges = edges.unionByName(links.where("k <> rid").select(F.col("k").alias("a"), F.col("rid").alias("b")))
     if same is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.functions.text import doi_key, words
+from citeflow.functions.text import doi_key, word_list
 from citeflow.llm.neardup import equal_links, groups
 from citeflow.llm.survivor import survivors
 from citeflow.runtime import cut, table
@@ -16,7 +16,7 @@ SIMILARITY, LEAST = 0.65, 5
 
 def work_groups(entries: DataFrame) -> DataFrame:
     """(entry_id, component) of entries of works with more than one record."""
-    docs = entries.select("entry_id", words(F.col("title")).alias("tokens"), doi_key(F.col("doi")).alias("doi"))
+    docs = entries.select("entry_id", word_list(F.col("title")).alias("tokens"), doi_key(F.col("doi")).alias("doi"))
     return groups(docs, "entry_id", "tokens", SIMILARITY, LEAST, same=equal_links(docs, "entry_id", "doi"))
 
 

@@ -7,7 +7,8 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from citeflow.llm.neardup import equal_links, groups, representatives, similar, size_bands
+from citeflow.llm import neardup
+from citeflow.llm.neardup import candidates, equal_links, groups, representatives, similar, size_bands
 from citeflow.llm.survivor import layers, survivors
 
 
@@ -76,7 +77,7 @@ def test_hot_copies_are_one_representative(spark):
     rows = [(i, ["a", "b", "c", "d", "e"]) for i in range(300)] + [(1000, ["a", "b", "c", "d", "e", "f"]), (1001, ["z"] * 9)]
     docs = spark.createDataFrame(rows, "id long, tokens array<string>")
     reps, links = representatives(docs, "id", "tokens", 5)
-    assert reps.count() == 2 and links.count() == 301
+    assert reps.count() == 3 and links.count() == 302  # nine words, of which one is distinct, are a record too
     assert similar(reps, 0.65).count() == 1
     got = groups(docs, "id", "tokens", 0.65, 5).collect()
     assert {r.component for r in got} == {0} and len(got) == 301
@@ -91,6 +92,39 @@ def test_nulls_empty_repeats_and_clashing_names(spark):
     assert groups(docs.limit(0), "id", "tokens", 0.65, 5).count() == 0
 
 
+def test_repeated_words_count_for_the_least_length(spark):
+    rows = [(1, ["a", "b", "c", "d", "d"]), (2, ["a", "b", "c", "d", "d", "d"]), (3, ["a", "b", "c", "d"])]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    assert as_groups(groups(docs, "id", "tokens", 0.65, 5).collect()) == {frozenset({1, 2})}
+
+
+def test_hot_words_and_colliding_bands_lose_nothing(spark, monkeypatch):
+    """Titles of few words that all share, so that groups are hot at each level
+    and end within them; and bands so few that most records have collisions."""
+    rng = random.Random(11)
+    rows = [(i, rng.sample([f"c{k}" for k in range(11)], rng.randrange(1, 7))) for i in range(260)]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    for few, levels, bands in ((2, 3, 20), (4, 8, -60)):
+        for name, value in (("FEW", few), ("LEVELS", levels), ("BANDS", bands)):
+            monkeypatch.setattr(neardup, name, value)
+        if bands < 0:
+            monkeypatch.setattr(neardup.math, "log2", lambda _: 3.0)  # eight bands
+        assert as_groups(groups(docs, "id", "tokens", 0.6, 2).collect()) == brute(rows, 0.6, 2)
+        monkeypatch.undo()
+
+
+def test_candidates_grow_with_the_records(spark):
+    """A skeleton of common words and six rare ones: pairs to compare for each
+    record do not grow with the number of records."""
+    rng, common = random.Random(12), [f"c{k}" for k in range(30)]
+    per = []
+    for n in (300, 1500):
+        rows = [(i, rng.sample(common, 9) + [f"r{rng.randrange(n * 2)}" for _ in range(6)]) for i in range(n)]
+        reps, _ = representatives(spark.createDataFrame(rows, "id long, tokens array<string>"), "id", "tokens", 5)
+        per.append(candidates(reps, 0.65).count() / n)
+    assert per[1] <= max(1.5 * per[0], neardup.FEW * 8)
+
+
 def test_size_bands_hold_similar_sizes_together():
     for t in (0.5, 0.65, 0.8, 0.95):
         ends = size_bands(t, 500)
