@@ -1,13 +1,28 @@
-"""Numbers in text: folding, grouping, extraction and comparison as decimals.
-All are built-in regular-expression chains, so they stay in the JVM."""
+"""Numbers in text: extraction and comparison as decimals, in the JVM.
+
+A text is read by one scanner. Each atom that it finds is a name with digits, an
+index, a publication year or a number; only the last has the group that is kept,
+so nothing is rewritten before numbers are looked for."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One number: digits with an optional fraction, or a leading point.
-NUMBER = r"(?<![\p{IsLatin}\p{N}_.])(?:\d+(?:\.\d+)?|\.\d+)"
+#: What may stand between groups of three digits, LaTeX's thin spaces among it.
+GAP = r"(?:,|\s|\{,\}|\\[,;\s])"
+#: Four digits that may be a year.
+YEAR = r"(?:19|20)\d\d"
+#: Kinds of atoms, the first that fits counts.
+ATOMS = {
+    "index": r"[_^]\s*(?:\{[^{}]*\}|[A-Za-z0-9]+)",
+    "year in brackets": rf"[(（]\s*{YEAR}[a-z]?\s*[)）]",
+    "year before its sign": rf"{YEAR}\s*年(?![龄代])",
+    "word, perhaps with digits": r"\p{IsLatin}(?:[\p{IsLatin}\p{N}]|[.\-]+(?=[\p{IsLatin}\p{N}]))*",
+    "digits before a capital": r"\d+(?:-+\d+)*-*\p{Lu}[\p{IsLatin}\d\-]*",
+    "number": rf"((?:\d{{1,3}}(?:{GAP}\d{{3}})+(?!\d)|\d{{1,2}}(?:,\d\d)+,\d{{3}}(?!\d)|\d+)(?:\.\d+)?|\.\d+)",
+}
+SCANNER = "|".join(ATOMS.values())
 
 
 def fold_width(text: Column) -> Column:
@@ -16,31 +31,14 @@ def fold_width(text: Column) -> Column:
     return F.translate(text, "０１２３４５６７８９．％", "0123456789.%")
 
 
-def ungroup(text: Column) -> Column:
-    """Thousands joined: groups of three digits set off by commas, blanks or a
-    LaTeX thin space, and South-Asian groups of two before the last three."""
-    text = F.regexp_replace(text, r"(?<=\d)(?:\{,\}|\\[,;\s])(?=\d{3}(?!\d))", "")
-    text = F.regexp_replace(text, r"(?<=(?<![\d.,])\d{1,2}),(?=\d{2},\d{3}(?!\d))", "")
-    text = F.regexp_replace(text, r"(?<=(?<![\d.])\d{1,3})[,\s](?=\d{3}(?:[,\s]\d{3})*(?!\d))", "")
-    # Further groups: what precedes is longer now, so the look-behind widens.
-    return F.regexp_replace(text, r"(?<=(?<![\d.])\d{4,6})[,\s](?=\d{3}(?:[,\s]\d{3})*(?!\d))", "")
-
-
-def without_years(text: Column) -> Column:
-    """Publication years taken out: alone in brackets, or before the sign for
-    year."""
-    text = F.regexp_replace(text, "(?<![.\\d])(?:19|20)\\d\\d(?=\\s*年(?![龄代]))", " ")
-    return F.regexp_replace(text, r"([（(]\s*)(?:19|20)\d\d[a-z]?(\s*[）)])", "$1$2")
-
-
 def numbers(text: Column) -> Column:
     """Numbers of a text in order, both ends of a range, as strings with a
-    leading zero. Digits within names (HbA1c, 5-HT) and LaTeX indices are none."""
-    text = F.regexp_replace(fold_width(F.coalesce(text, F.lit(""))), r"[_^]\s*(?:\{[^{}]*\}|[A-Za-z0-9]+)", " ")
-    text = without_years(ungroup(text))
-    text = F.regexp_replace(text, r"\p{IsLatin}[\p{IsLatin}\-]*\d[\p{IsLatin}\d.\-]*|\d[\d\-]*\p{Lu}[\p{IsLatin}\d\-]*", " ")
-    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    return F.transform(found, lambda x: F.when(x.startswith("."), F.concat(F.lit("0"), x)).otherwise(x))
+    leading zero and without gaps between groups of digits. Digits within names
+    (HbA1c, 5-HT), LaTeX indices and years of publication are none; null has an
+    empty list."""
+    found = F.regexp_extract_all(fold_width(F.coalesce(text, F.lit(""))), F.lit(SCANNER), F.lit(1))
+    bare = F.transform(F.filter(found, lambda x: x != ""), lambda x: F.regexp_replace(x, r"[^\d.]", ""))
+    return F.transform(bare, lambda x: F.when(x.startswith("."), F.concat(F.lit("0"), x)).otherwise(x))
 
 
 def decimals(values: Column) -> Column:

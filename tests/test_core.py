@@ -44,6 +44,7 @@ def test_loose_key_and_words(spark):
     [
         ("n=1,234,567 and 74 291", ["1234567", "74291"]), ("RR 0.27 95% CI .85", ["0.27", "95", "0.85"]), ("HbA1c, 5-HT and CoQ10", []),
         ("in (2022) 12 men", ["12"]), ("２０２２年４５％", ["45"]), ("1.2–3.4", ["1.2", "3.4"]), ("x_1 = 15{,}226", ["15226"]), ("1,18,171", ["118171"]), ("", []), (None, []),
+        ("x_{12} is 3", ["3"]), ("p=0.05; n = 12 345,5 or 1234 567", ["0.05", "12345", "5", "1234", "567"]), ("IL-6 30mg 12,5", ["30", "12", "5"]), ("2019年龄 2019 年", ["2019"]), ("1 000.5 and 10\\,200", ["1000.5", "10200"]), ("1990s 1,23,45", ["1990", "1", "23", "45"]),
     ],
 )
 def test_numbers(spark, text, want):

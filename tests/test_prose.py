@@ -45,6 +45,15 @@ def test_markup(spark):
     assert rows[1][:2] == ("", "") and rows[1][2] == [] and rows[2][3] == []
 
 
+def test_nested_sections_and_broken_markup(spark):
+    nested = "<sec><title>Methods</title><p>a</p></sec><sec id='s'><title>Background and aims</title><p>one</p><sec><title>Part</title><p>two</p></sec><p>three</p></sec><sec><title>Results</title><p>four</p></sec>"
+    rows = [(nested,), ("<sec><title>Background</title><p>open " + "x" * 9000,), ("<abstract",), ("<sec></sec></sec>",), ("<table-wrap><tr><td>1</td>",)]
+    df = spark.createDataFrame(rows, "x string")
+    got = df.select(markup.section(F.col("x"), ["background"], None), markup.abstract(F.col("x")), markup.tables(F.col("x"), None)).collect()
+    assert got[0][0] == "one Part two three" and len(got[1][0]) == 9005
+    assert [r[1] for r in got] == [""] * 5 and got[4][2] == [[["1"]]] and got[3][0] == ""
+
+
 def test_closest_names(spark):
     want = spark.createDataFrame([("t", "gap-11"), ("t", "gap-11"), ("t", None), ("u", "zzz")], "topic string, gap string")
     have = spark.createDataFrame([("t", "gap-1"), ("t", "gap-10"), ("t", "other"), ("t", "gap-2"), ("u", "gap-1"), (None, "gap-11")], "topic string, gap string")
