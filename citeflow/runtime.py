@@ -81,26 +81,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a plan's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def splits(df: DataFrame) -> int:
-    """Tasks among which the rows of a plan that only scans files come divided.
-    A split of a file counts if a row group of the usual size can lie in it."""
-    files = len(df.inputFiles())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return min(df._jdf.rdd().getNumPartitions(), max(files, size // ROW_GROUP))
+    """Tasks among which the rows of a plan come divided; 0 for one with
+    shuffles. A split of a file counts if a row group of the usual size can lie
+    in it."""
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return 0
+    parts, files = df._jdf.rdd().getNumPartitions(), len(df.inputFiles())
+    return min(parts, max(files, _bytes(df) // ROW_GROUP)) if files else parts
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Rows divided among as many tasks as the session has cores, at least, for
     stages that do much work for each row. With cols, rows of equal values meet.
 
-    Without cols, only a scan that has fewer splits than cores is shuffled; that
-    moves at most a row group for each core, whatever the input. A larger scan
-    has splits enough and is left as it is."""
+    Without cols, only a plan that comes in fewer splits than there are cores is
+    shuffled; that moves at most two row groups for each core, whatever the
+    input. A larger one has splits enough and is left as it is."""
     spark = df.sparkSession
     ship(spark)
     cores = spark.sparkContext.defaultParallelism
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
     if cols:
         return df.repartition(n, *cols)
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return df if size >= 2 * cores * ROW_GROUP or splits(df) >= cores else df.repartition(n)
+    return df if _bytes(df) >= 2 * cores * ROW_GROUP or splits(df) >= cores else df.repartition(n)

@@ -249,3 +249,27 @@ def test_streamed_merge_is_order_free(spark, tmp_path):
     V.merge_into(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["key"], "seq", ["gap"], ["title"], {"status": "verified"}).awaitTermination()
     got = {r.key: (r.gap, r.title, r.status) for r in V.current(spark, str(tmp_path / "out"), ["key"], ["gap", "title"], {"status": "verified"}).collect()}
     assert got == {"k": ("g1", "t3", "verified"), "m": ("x", "t1", "pending")}
+
+
+def test_spread_shuffles_only_scans_of_few_splits(spark, tmp_path):
+    from citeflow.runtime import spread
+
+    many, few = str(tmp_path / "many"), str(tmp_path / "few")
+    spark.range(1000).repartition(8).write.parquet(many)
+    spark.range(1000).coalesce(1).write.parquet(few)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    try:
+        plan = lambda p: spread(spark.read.parquet(p))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan(many) and "Exchange" in plan(few)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from citeflow.runtime import checkpoints
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoints(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
