@@ -151,6 +151,18 @@ class TestLeaks:
         got = leaks.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
         assert {(r.doc_id, r.item_id, r.longest) for r in got.where("leaked").collect()} == {(1, 3, 15)}
 
+    def test_short_items_places_and_blocks(self, spark, monkeypatch):
+        items = [*self.items(), (50, "ten words that only this one short test item has"), (51, "few words")]
+        w = items[2][1].split()
+        docs = [(1, "we saw ten words that only this one short test item has today"), (2, "few words and ten words that only one"), (3, f"a b {' '.join(w[6:30])} c"), (4, " ".join(x if i % 9 else "changed" for i, x in enumerate(w)))]
+        d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        got = {tuple(r) for r in leaks.matches(d, t).where("leaked").collect()}
+        assert {(r[0], r[1]) for r in got} == {(1, 50), (3, 2), (4, 2)}
+        assert {r[2:5] for r in got if r[0] in (1, 3)} == {(10, 2, 0), (24, 2, 6)}
+        monkeypatch.setattr(leaks, "BLOCK_BYTES", 700)  # blocks of the test texts change nothing
+        monkeypatch.setattr(leaks, "PLACES", 3)
+        assert {tuple(r) for r in leaks.matches(d, t).where("leaked").collect()} == got
+
     def test_suffix_array_and_search_against_brute_force(self):
         rng = random.Random(1)
         texts = [(i, " ".join(rng.choice("abcdef") for _ in range(12))) for i in range(5)]
@@ -167,7 +179,16 @@ class TestLeaks:
 
         assert sorted(order.tolist()) == live
         assert all(key(a) <= key(b) for a, b in zip(order, order[1:]))
-        query, low, high = leaks.search(seq, order, tests)
+        query, longest, low, high = leaks.search(seq, order, tests)
+
+        def match(p, q):
+            n = 0
+            while seq[p + n] and seq[p + n] == tests.flat[q + n]:
+                n += 1
+            return n
+
+        best = {q: max((match(p, q) for p in live), default=0) for q in range(len(tests.flat) - leaks.DEPTH)}
+        assert dict(zip(query.tolist(), longest.tolist())) == {q: n for q, n in best.items() if n >= leaks.SEED}
         for q, lo, hi in zip(query, low, high):
             head = tests.flat[q : q + leaks.SEED].tolist()
             assert sorted(order[lo:hi].tolist()) == [p for p in live if seq[p : p + leaks.SEED].tolist() == head]
