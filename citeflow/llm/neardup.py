@@ -188,7 +188,7 @@ def _blocked(rows: DataFrame, ends: Column, threshold: float) -> DataFrame:
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     a, b = (rows.select("path", "low", "high", *[F.col(c).alias(f"{c}_{x}") for c in (*_SIDE, "block", "ends")]) for x in "ab")
     once = (F.col("block_a") != F.col("block_b")) | (F.col("low") == F.col("high"))
-    return a.join(b, ["path", "low", "high"]).where((F.col("ends_a") | F.col("ends_b")) & once & _near(threshold)).select("rid_a", "rid_b")
+    return a.hint("merge").join(b.hint("merge"), ["path", "low", "high"]).where((F.col("ends_a") | F.col("ends_b")) & once & _near(threshold)).select("rid_a", "rid_b")
 
 
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
@@ -207,7 +207,8 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
         hot = rows.groupBy("path").agg(F.count("*").alias("freq")).where(F.col("freq") > FEW)
         now = cut(rows.join(hot, "path", "left"))
         a, b = (now.where("freq IS NULL").select("path", *[F.col(c).alias(f"{c}_{x}") for c in _SIDE]) for x in "ab")
-        found.append(a.join(b, "path").where(_near(threshold)).select("rid_a", "rid_b"))
+        # The sides are one table, divided by the same key; as large as each other, so none is broadcast.
+        found.append(a.hint("merge").join(b.hint("merge"), "path").where(_near(threshold)).select("rid_a", "rid_b"))
         over = now.where("freq IS NOT NULL")
         ends = F.lit(level == LEVELS) | (F.col("sure") <= level)
         hot_rows, ending = over.agg(F.count("*"), F.count_if(ends)).head()

@@ -2,8 +2,12 @@
 
 Records are points in (completeness, recency, trust). The skyline of a group
 holds the records that no other one dominates; the policy picks one of them
-lexicographically (trust, completeness, recency, least id). A null field of it
-is filled from the best record of the next dominance layer that has a value.
+lexicographically. Its first criterion is whether the trust is enough, not how
+high it is; then come completeness, recency and the least id. So a record that is
+as complete and recent as another but less trusted can be first by the policy and
+is yet never chosen, as it is not on the skyline. A null field of the chosen
+record is filled from the best record of its layer that has a value, else from
+the next layer's.
 
 A group may hold any number of rows, so it is reduced before it is gathered: all
 records of equal (completeness, trust, day) have one dominance layer, and each
@@ -23,10 +27,12 @@ from pyspark.sql import types as T
 def layers(points: list[tuple]) -> list[int]:
     """Dominance layer of each point (larger is better in each dimension): 1
     for the skyline, else one more than the deepest of its dominators. Equal
-    points do not dominate one another."""
+    points do not dominate one another. The time is the number of points times
+    that of distinct values in all dimensions but the first."""
     depth: dict[tuple, int] = {}
+    deepest: dict[tuple, int] = {}  # by the other dimensions, of points whose first is as large or larger
     for p in sorted(set(points), reverse=True):
-        depth[p] = 1 + max((v for q, v in depth.items() if all(x >= y for x, y in zip(q, p))), default=0)
+        depth[p] = deepest[p[1:]] = 1 + max((v for q, v in deepest.items() if all(x >= y for x, y in zip(q, p[1:]))), default=0)
     return [depth[p] for p in points]
 
 
@@ -39,7 +45,7 @@ def complete(fields: list[Column]) -> Column:
     return total
 
 
-def survivors(records: DataFrame, group: str, key: str, fields: list[str], recency: str, trust: str) -> DataFrame:
+def survivors(records: DataFrame, group: str, key: str, fields: list[str], recency: str, trust: str, enough: int = 8) -> DataFrame:
     """One row for each group: group, key of the chosen record, the trust it
     has, how many records and layers there are, and each field with its best
     value, with ``filled`` naming the fields that came from another record.
@@ -47,7 +53,8 @@ def survivors(records: DataFrame, group: str, key: str, fields: list[str], recen
     records: one row for each record; rows whose group or key is null are left
     out; rows that repeat a key count as records of it; fields of any atomic or
     array type and any name; recency a timestamp (null is oldest); trust an
-    integer (null is 0). Ties go to the least key."""
+    integer (null is 0), of which ``enough`` is enough for the policy. Ties go to
+    the least key."""
     kinds = dict(records.dtypes)
     day = F.coalesce(F.datediff(F.col(recency).cast("date"), F.lit("1970-01-01")), F.lit(-100000))
     rows = records.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(
@@ -71,8 +78,8 @@ def survivors(records: DataFrame, group: str, key: str, fields: list[str], recen
             out = []
             for g, cells in zip(batch["g"], batch["cells"]):
                 cells = list(cells)
-                depth = layers([(x["c"], x["d"], x["t"]) for x in cells])
-                order = sorted(range(len(cells)), key=lambda i: (depth[i], -cells[i]["t"], -cells[i]["c"], -cells[i]["d"], cells[i]["o"], cells[i]["k"]))
+                depth = layers([(x["d"], x["c"], x["t"]) for x in cells])
+                order = sorted(range(len(cells)), key=lambda i: (depth[i], cells[i]["t"] < enough, -cells[i]["c"], -cells[i]["d"], cells[i]["o"], cells[i]["k"]))
                 best = cells[order[0]]
                 values, filled = [], []
                 for j, f in enumerate(fields):

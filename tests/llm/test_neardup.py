@@ -163,6 +163,21 @@ def test_survivor_and_filling(spark):
     assert (got[3].entry_id, got[3].title, got[3].records) == (30, "t", 2)  # a tie goes to the least key
 
 
+def test_policy_and_skyline_decide_together(spark):
+    at = lambda d: datetime(2025, 1, d)
+    rows = [
+        # Nobody is trusted enough: the most complete of the skyline; 11 ties with 12 by the policy and has the lesser id, but 12 dominates it.
+        (1, 11, "a", ["x"], None, at(5), 3, None), (1, 12, "b", ["x"], None, at(5), 4, None), (1, 13, "c", None, None, at(5), 7, None),
+        # Several are: the most complete of them, not the most complete of all.
+        (2, 21, "a", ["x"], 1, at(5), 7, None), (2, 22, "b", ["x"], None, at(4), 8, None), (2, 23, "c", None, None, at(6), 8, None),
+        # One is: it wins whatever the others have.
+        (3, 31, "a", ["x"], 1, at(9), 7, None), (3, 32, None, None, None, at(1), 8, None),
+    ]
+    got = {r.work: r for r in survivors(spark.createDataFrame(rows, SCHEMA), "work", "entry_id", ["title", "tags", "year"], "at", "trust").collect()}
+    assert {w: r.entry_id for w, r in got.items()} == {1: 12, 2: 22, 3: 32}
+    assert (got[3].title, got[3].tags, got[3].year) == ("a", ["x"], 1)
+
+
 def test_survivors_of_nothing_and_of_a_hot_group(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert survivors(empty, "work", "entry_id", ["title"], "at", "trust").count() == 0

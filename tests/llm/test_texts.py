@@ -229,6 +229,26 @@ class TestEncodings:
         assert r.repair(part)[0] == self.CLEAN[1] + " " + t
         assert r.repair("尚不清楚是否适用".encode().decode("gb18030"))[0] == "尚不清楚是否适用"
 
+    @pytest.mark.parametrize("right,wrong", [("koi8_r", "cp1251"), ("cp1251", "latin-1"), ("cp1251", "cp1252"), ("cp866", "cp1251"), ("cp850", "cp1252")])
+    def test_one_byte_text_read_in_another_encoding_of_one_byte(self, right, wrong):
+        r = self.repairer()
+        t = "Итог раунда дозы, Итог дозы раунда" if right != "cp850" else "Die Prüfärzte bewerteten die Qualität als mäßig für Prüfärzte."
+        back = {v: k for k, v in encodings._TABLES[wrong].items()}
+        bad = "".join(chr(b) if b < 128 else chr(back.get(b, b)) for b in t.encode(right))
+        assert bad != t and r.repair(bad)[0] == t
+
+    @pytest.mark.parametrize("right", ["gb18030", "big5"])
+    def test_two_byte_text_read_as_latin(self, right):
+        r, t = self.repairer(), "尚不清楚是否人和" if right == "gb18030" else "不清楚是否人和"
+        assert r.repair(t.encode(right).decode("latin-1"))[0] == t
+
+    def test_a_chain_whose_first_step_saves_nothing(self):
+        r, t = self.repairer(), self.CLEAN[0]
+        steps = {}
+        honest = r.gain
+        r.gain = lambda a, b, parts: steps.setdefault((a, b), -1 if not steps else honest(a, b, parts))
+        assert r.repair(t.encode().decode("latin-1").encode().decode("latin-1"))[0] == t
+
     def test_clean_texts_stay(self):
         r = self.repairer()
         for t in [*self.CLEAN, "", "plain", "👩‍🔬 🧪", "ملخص סיכום", "á vs á; ﬁ vs fi; ﾃｽﾄ", "S&atilde;o \\u00e9"]:
