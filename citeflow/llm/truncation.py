@@ -11,14 +11,20 @@ The posterior is combined with the evidence of the ending: how often, in all
 passages, the last words' context ends a sentence and how often it goes on,
 whether the passage ends in a stop, and whether its last segment is of a kind
 that has no stop anyway (key words, a registration number), as its label or first
-word ends without one more often than with one. These counts are over all passages, aggregated by context and joined back to the passages' endings."""
+word ends without one more often than with one. The stop of an abbreviation is
+judged in the same way: by how often sentences go on behind it. These counts are
+over all passages, aggregated by context and joined back to the passages' endings;
+pairs of words are counted once and coarser contexts summed from them."""
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from html import entities
 
 import numpy as np
 import pandas as pd
@@ -33,6 +39,12 @@ BELOW = 16
 #: Share of complete passages that have no full stop; strength of the prior of
 #: a context's counts, and its mean.
 STOPLESS, WEIGHT, MEAN = 0.01, 2.0, 0.08
+#: How much more likely a cut text is than a complete one to end in a mark that
+#: says so, and in a part of an entity or a tag.
+MARKED, PART = 1000.0, 20.0
+#: Lengths are counted one by one up to here; longer ones too where three open
+#: endings share one, else by steps of STEP characters.
+FINE, STEP = 100_000, 1024
 #: Segments of a kind from which on it tells whether they have a stop.
 FEW = 3
 
@@ -42,7 +54,16 @@ _BREAK = re.compile(r"(?<=[.!?])[\"”’'»)\]]*\s+(?=[\"“(\[¿«©]*\s?[^\W_
 _TOKEN = re.compile(r"[぀-ヿ一-鿿]|[^\W_]+(?:[.,’'\-][^\W_]+)*|[^\w\s]")
 #: Abbreviations whose stop ends no sentence (fixed values).
 ABBREVIATIONS = {"vs", "i.e", "e.g", "cf", "al", "dr", "no", "fig", "approx", "ca", "resp", "bzw", "env", "p. ex", "z.b"}
+#: Of these, the ones that are also words or codes, so that a sentence may end in them.
+ALSO_WORDS = {"no", "ca", "al", "dr", "env"}
+#: Share of the stops of other abbreviations that are thought to end a sentence as
+#: long as the corpus tells nothing; its counts outweigh it.
+ENDING = 0.002
 _LABEL = re.compile(r"^[^\W\d_][\w ]{1,24}:\s+\S")
+_ABBREVIATED = re.compile(r"([^\W\d_]+(?:\. ?[^\W\d_]+)?)\.(?:\s+(?=(\S)))")
+#: The beginning of an entity (as far as two letters or a number tell) or of a tag.
+_PART = re.compile(r"&#(?:x[0-9a-fA-F]*|\d*)$|&([A-Za-z]{2,8}\d{0,2})$|<(?:/?)(?:i|b|em|p|u|a|br|sup|sub|span|strong|sec|title|italic|bold|jats:\w*|xref)?(?:\s[^<>]{0,60})?$")
+_ENTITIES = sorted({name.rstrip(";") for name in entities.html5})
 _QUOTED = re.compile(r"^[\"“«][^\"”»]+[\"”»]$")
 
 
@@ -56,15 +77,22 @@ def passage(text: Column) -> Column:
     return plain(F.when(lines.rlike(r"(?m)^##[ \t]*Abstract[ \t]*$"), section).otherwise(bare))
 
 
+@lru_cache(1 << 16)
 def _word(token: str) -> str:
     return re.sub(r"\d+", "0", token.lower())
 
 
-def _contexts(tokens: list[str], i: int) -> list[str]:
-    """Keys of the context that ends with token i, the most specific first."""
-    w0, w1 = _word(tokens[i]), _word(tokens[i - 1]) if i else "^"
-    tail = "~" + w0[-4:] if len(w0) >= 6 and w0[-1].isalpha() else w0
-    return [f"b|{w1}|{w0}", f"c|{w1}|{tail}", f"u|{w0}", f"s|{tail}"]
+def _contexts(before: str, word: str) -> list[str]:
+    """Keys of the context that ends with a word, the most specific first."""
+    tail = "~" + word[-4:] if len(word) >= 6 and word[-1].isalpha() else word
+    return [f"b|{before}|{word}", f"c|{before}|{tail}", f"u|{word}", f"s|{tail}"]
+
+
+def _contexts_of(before: Column, word: Column) -> Column:
+    """The same as a column."""
+    tail = F.when((F.length(word) >= 6) & F.substring(word, -1, 1).rlike(r"[\p{L}]"), F.concat(F.lit("~"), F.substring(word, -4, 4))).otherwise(word)
+    bar = F.lit("|")
+    return F.array(F.concat(F.lit("b|"), before, bar, word), F.concat(F.lit("c|"), before, bar, tail), F.concat(F.lit("u|"), word), F.concat(F.lit("s|"), tail))
 
 
 def _segments(text: str) -> list[str]:
@@ -101,38 +129,59 @@ def _bare(tokens: list[str]) -> list[str]:
     return tokens
 
 
-def _counts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(context, ends, goes on) summed within a batch. A passage's last segment
-    counts as an end only with a stop; without one, it counts for its head and label."""
+def _part(text: str) -> bool:
+    """Whether a text ends within an entity or a tag."""
+    m = _PART.search(text[-80:])
+    if not m or m[0] == "<":
+        return False
+    if not m[1]:
+        return True
+    at = bisect_left(_ENTITIES, m[1])
+    return at < len(_ENTITIES) and _ENTITIES[at].startswith(m[1])
+
+
+def _abbreviation(text: str) -> str:
+    """The abbreviation whose stop ends a text, lower case; else empty."""
+    bare = text[-40:].lower()
+    if not bare.endswith("."):
+        return ""
+    return next((a for a in sorted(ABBREVIATIONS, key=len, reverse=True) if bare[:-1].endswith(a) and not bare[: -1 - len(a)][-1:].isalnum()), "")
+
+
+_COLUMNS = ["k", "source", "length", "form", "quoted", "label", "segments", "keys", "before", "word", "ends", "inside"]
+
+
+def _read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Two kinds of rows: of each passage its ending, and, summed within a batch,
+    (before, word, ends, inside): how often sentences end and go on after a pair
+    of words. Where before is null, word is a key itself: a segment's head or
+    label, or an abbreviation. A passage's last segment counts as an end only
+    with a stop; without one, it counts for its head and label."""
     for batch in it:
-        ends, inner = Counter(), Counter()
-        for text in batch["text"]:
+        ends, inner, out = Counter(), Counter(), []
+        for key, source, text in zip(batch["k"], batch["source"], batch["text"]):
             segments = _segments(text)
+            tokens: list[str] = []
             for k, s in enumerate(segments):
                 closed = bool(_STOP.search(s)) and not _ELLIPSIS.search(s)
                 for kind in filter(None, (_head(s), _label(s))):
-                    (ends if closed else inner)[kind] += 1
-                tokens = _bare(_inner(s))
-                for i in range(len(tokens) - 1):
-                    inner.update(_contexts(tokens, i))
-                if tokens and closed and k < len(segments) - 1:
-                    ends.update(_contexts(tokens, len(tokens) - 1))
-        keys = list(ends.keys() | inner.keys())
-        yield pd.DataFrame({"context": keys, "ends": [ends[k] for k in keys], "inside": [inner[k] for k in keys]})
-
-
-def _endings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in it:
-        out = []
-        for key, text in zip(batch["k"], batch["text"]):
-            last = (_segments(text) or [""])[-1]
-            tokens = _bare(_inner(last))
-            keys = _contexts(tokens, len(tokens) - 1) if tokens else []
-            word = tokens[-1].lower() if tokens else ""
-            form = "ellipsis" if _ELLIPSIS.search(text) else "abbreviation" if text.endswith(".") and word in ABBREVIATIONS else "stop" if _STOP.search(text) else "entity" if re.search(r"&#?\w{0,8}$|<[^<>]{0,60}$", text) else "open"
+                    (ends if closed else inner)[None, kind] += 1
+                tokens = [_word(t) for t in _bare(_inner(s))]
+                pairs = list(zip(["^", *tokens], tokens))
+                inner.update(pairs[:-1])
+                if pairs and closed and k < len(segments) - 1:
+                    ends[pairs[-1]] += 1
+            for m in _ABBREVIATED.finditer(text):
+                if (w := m[1].lower()) in ABBREVIATIONS or (w := w.rsplit(" ", 1)[-1]) in ABBREVIATIONS:
+                    (ends if m[2].isupper() else inner)[None, f"a|{w}"] += 1
+            last = (segments or [""])[-1]
+            short = _abbreviation(text)
+            form = "mark" if _ELLIPSIS.search(text) else ("word" if short in ALSO_WORDS else "abbreviation") if short else "stop" if _STOP.search(text) else "part" if _part(text) else "open"
             label = _label(last)
-            out.append((key, form, bool(_QUOTED.match(last)), bool(label), len(_segments(text)), [_head(last), *([label] if label else []), *keys] if last else []))
-        yield pd.DataFrame(out, columns=["k", "form", "quoted", "label", "segments", "keys"])
+            keys = [f"a|{short}"] if short else _contexts(tokens[-2] if len(tokens) > 1 else "^", tokens[-1]) if tokens else []
+            out.append((key, source, len(text), form, bool(_QUOTED.match(last)), bool(label), len(segments), [_head(last), *([label] if label else []), *keys] if last else [], None, None, 0, 0))
+        out += [(None, None, 0, None, None, None, 0, None, a, b, ends[a, b], inner[a, b]) for a, b in ends.keys() | inner.keys()]
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, open_: np.ndarray) -> dict:
@@ -205,23 +254,29 @@ def detect(texts: DataFrame, key: str, source: str, text: str) -> DataFrame:
     texts: rows of one key are one value (the least text of them counts); null
     sources are one source; null and blank texts have no row."""
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    rows = texts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(F.struct(name.alias("source"), passage(F.col(text)).alias("text"))).alias("v"))
-    rows = spread(rows.select("k", "v.source", "v.text").where("text <> ''"))
-    rows = cut(rows)
-    counted = rows.select("text").mapInPandas(_counts, "context string, ends long, inside long").groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
+    rows = spread(texts.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.struct(name.alias("source"), passage(F.col(text)).alias("text")).alias("v")), "k")
+    rows = rows.groupBy("k").agg(F.min("v").alias("v")).select("k", "v.source", "v.text").where("text <> ''")
     kind = rows.schema["k"].dataType.simpleString()
-    ended = cut(rows.select("k", "text").mapInPandas(_endings, f"k {kind}, form string, quoted boolean, label boolean, segments int, keys array<string>"))
-    looked = ended.select("k", F.posexplode_outer("keys").alias("pos", "context")).join(counted, "context", "left")
+    read = cut(rows.mapInPandas(_read, f"k {kind}, source string, length int, form string, quoted boolean, label boolean, segments int, keys array<string>, before string, word string, ends long, inside long"))
+    ended = read.where("form IS NOT NULL").drop("before", "word", "ends", "inside")
+    pairs = read.where("word IS NOT NULL").groupBy("before", "word").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
+    contexts = F.when(F.col("before").isNull(), F.array("word")).otherwise(_contexts_of(F.col("before"), F.col("word")))
+    keys = ended.select("k", F.posexplode_outer("keys").alias("pos", "context"))
+    wanted = keys.select("context").distinct()
+    counted = pairs.select(F.explode(contexts).alias("context"), "ends", "inside").join(wanted, "context", "left_semi").groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
+    looked = keys.join(counted, "context", "left")
     looked = looked.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("inside", F.lit(0)).alias("inside")))).alias("seen"))
-    joined = rows.select("k", "source", F.length("text").alias("length")).join(ended.drop("keys"), "k").join(looked, "k")
+    joined = ended.drop("keys").join(looked, "k")
     # How often segments of the last one's kind end and do not: those of its label, of a rare label those of its first word.
     head, label = F.get("seen", F.lit(0)), F.get("seen", F.lit(1))
     of_kind = F.when(F.col("label") & (label["ends"] + label["inside"] >= FEW), label).otherwise(head)
     joined = joined.withColumn("kind", of_kind).withColumn("seen", F.concat(F.array("kind"), F.slice("seen", F.when(F.col("label"), 3).otherwise(2), F.size("seen"))))
     joined = cut(joined.withColumn("tail", F.col("quoted") | F.col("label") & (F.col("kind.inside") > F.col("kind.ends"))).drop("kind", "quoted", "label"))
-    # Lengths by source, of those whose ending is open: a histogram of bounded size.
-    is_open = F.col("form").isin("open", "entity", "ellipsis") & ~F.col("tail")
-    shape = joined.groupBy("source", F.least("length", F.lit(100_000)).alias("length")).agg(F.count("*").alias("n"), F.sum(is_open.cast("long")).alias("o"))
+    # Lengths by source, of those whose ending is open.
+    is_open = F.col("form").isin("open", "part", "mark") & ~F.col("tail")
+    cells = joined.groupBy("source", "length").agg(F.count("*").alias("n"), F.sum(is_open.cast("long")).alias("o"))
+    length = F.when((F.col("length") <= FINE) | (F.col("o") >= 3), F.col("length")).otherwise((F.floor(F.col("length") / STEP) * STEP).cast("int"))
+    shape = cells.groupBy("source", length.alias("length")).agg(F.sum("n").alias("n"), F.sum("o").alias("o"))
 
     def fits(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
@@ -251,23 +306,29 @@ def posterior(prior: float, form: str, tail: bool, segments: int, seen: list[tup
     """Probability that a passage is cut, by its prior and its ending. seen: for
     the last segment's label or head and the ending's contexts from the most specific,
     how often they end and how often they go on."""
-    if form in ("ellipsis", "entity"):
-        return 0.99
+    odds = prior / (1 - prior)
+    if form == "mark":
+        odds *= MARKED
+        return odds / (1 + odds)
     if not seen:
         return prior if form != "stop" else 0.0
     (closed, unclosed), contexts = seen[0], seen[1:]
     ends, inside = next(((e, i) for e, i in contexts if e + i >= 5), contexts[-1] if contexts else (0, 0))
     goes_on = (inside + WEIGHT * (1 - MEAN)) / (ends + inside + WEIGHT)
-    odds = prior / (1 - prior)
     # Sentences have about twelve contexts that go on for one that ends.
     ratio = goes_on / max(1e-6, 1 - goes_on) * MEAN
-    if form == "abbreviation":
-        return 0.95
+    if form in ("abbreviation", "word"):  # it has its stop in either case
+        mean = ENDING if form == "abbreviation" else MEAN
+        goes_on = (inside + WEIGHT * (1 - mean)) / (ends + inside + WEIGHT)
+        odds *= goes_on / (1 - goes_on) * MEAN
+        return odds / (1 + odds)
     if form == "stop":
         if ends == 0 and inside >= 10:  # a stop where none ever is: within a number or an abbreviation
             odds *= ratio * 2
             return odds / (1 + odds)
         return min(0.01, odds * 0.01)
+    if form == "part":
+        odds *= PART
     if tail and segments > 1 or unclosed >= FEW and unclosed > closed:
         odds *= 0.01  # kinds of segments that have no stop
         return odds / (1 + odds)

@@ -57,6 +57,30 @@ class TestTruncation:
         found = {r.k for r in got.where("truncated").collect()}
         assert len(labelled) > 10 and labelled <= found and 2 not in found and len(found & cut) >= 0.97 * len(cut) and len(found - cut) <= 2
 
+    def test_abbreviations_and_entities_are_judged_by_counts(self, spark):
+        rng, rows = random.Random(8), []
+        more = ["Drug vs. placebo was compared in trial no. 3 there.", "They asked for more and the answer was no. All of them left.", "The trial was run in Sacramento, CA. Older men were asked."]
+        for i in range(600):
+            t = " ".join(rng.choice([*SENTENCES, *more]) for _ in range(rng.randrange(3, 9)))
+            if i % 12 == 0:
+                t = t[: 120 + i // 3]
+            rows.append((i, "ab"[i % 2], t))
+        ends = {1000: "the answer was no.", 1001: "It was run in Sacramento, CA.", 1002: "They spent it on industrial R&D.", 1003: "compared the drug vs.", 1004: "returned to its base&ly", 1005: "the drug lowered [truncated]", 1006: "the drug lowered <sup"}
+        rows += [(k, "a", " ".join(SENTENCES[:3]) + " " + t) for k, t in ends.items()]
+        got = {r.k: r for r in truncation.detect(spark.createDataFrame(rows, "k long, source string, text string"), "k", "source", "text").collect()}
+        assert {k for k in ends if got[k].truncated} == {1003, 1004, 1005, 1006}
+        assert [got[k].form for k in (1004, 1005, 1006)] == ["open", "mark", "part"]
+        assert not truncation._part("industrial R&D") and not truncation._part("was p <0.001") and not truncation._part("(P <0.05)") and truncation._part("caf&eacu")
+
+    def test_limits_beyond_any_length_are_found(self, spark):
+        rng, rows = random.Random(9), []
+        for i in range(60):
+            t = " ".join(rng.choice(SENTENCES) for _ in range(4000 if i % 2 else rng.randrange(3000, 3600)))
+            rows.append((i, "a", t[:150000].rstrip() if i % 2 else t))
+        got = {r.k: r for r in truncation.detect(spark.createDataFrame(rows, "k long, source string, text string"), "k", "source", "text").collect()}
+        cut = {i for i, _, t in rows if i % 2 and not t.endswith(".")}
+        assert len(cut) > 20 and {k for k, r in got.items() if r.truncated} == cut and all(got[k].prior > 0.5 for k in cut if got[k].length == 150000)
+
     def test_fit_recovers_a_limit(self):
         rng = np.random.default_rng(0)
         x = np.exp(rng.normal(6, 0.5, 4000)).astype(int)
