@@ -26,6 +26,23 @@ def test_given_family_swapped_is_read_in_both_ways():
     assert parses("  ", False) == [] and parses("et al.", False) == [] and parses(",", False) == []
 
 
+def test_cores_one_edit_apart_share_a_block():
+    rng = random.Random(6)
+    for _ in range(2000):
+        a = "".join(rng.choice("abdeiklmnorstuv") for _ in range(rng.randrange(5, 11)))
+        i, c = rng.randrange(len(a)), rng.choice("abdeiklmnorstuv")
+        b = rng.choice([a[:i] + a[i + 1 :], a[:i] + c + a[i:], a[:i] + c + a[i + 1 :], a[:i] + a[i : i + 2][::-1] + a[i + 2 :]])
+        assert set(blocks(a, ())) & set(blocks(b, ())), (a, b)
+    assert not any(k.endswith("|") or len(k.split("|")[-1]) < 3 for k in blocks("aeiou", ()) + blocks("mila", ()) + blocks("marta", ()))
+
+
+def test_similarity_from_either_end():
+    from citeflow.llm.names import two_way
+
+    assert two_way("vozorosto", "vpzorosto") > jaro_winkler("vozorosto", "vpzorosto") and two_way("kuvurkelden", "guvurkelden") == two_way("nedlekruvuk", "nedlekruvug")
+    assert same_core("krarevirdt", "krarevirt") and not same_core("gaistindolberg", "glaistidolberg") and not same_core("blairtaiminnik", "blairtirinnik")
+
+
 def test_one_edit_and_jaro_winkler_against_brute_force():
     def damerau(a, b):
         d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
