@@ -60,7 +60,7 @@ def rarity(items: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
-            yield pd.DataFrame({"w": [w for t in batch["text"] for w in set(words(t))]})
+            yield pd.DataFrame([(w,) for t in batch["text"] for w in set(words(t))], columns=["w"])
 
     return items.where("text IS NOT NULL").select("text").mapInPandas(run, "w string").groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
 

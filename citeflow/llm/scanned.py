@@ -6,28 +6,41 @@ running header or a page number. Hyphen-like marks at line ends are joined, also
 across furniture. Misread characters are found by intersecting a Levenshtein
 automaton with a trie of the vocabulary, where a known confusion (``rn`` for
 ``m``, ``1`` for ``i``) is one edit: all vocabulary words within the distance are
-candidates, ranked by kind of edit, context and frequency.
+candidates, ranked by context, kind of edit and frequency. A plain edit, one that
+is no known confusion, is believed where the context confirms it.
 
-The vocabulary holds the words, and the context the word pairs, of at least one in
-SHARE of all texts. At most SHARE times the mean number of distinct words of a
-text can be so frequent, whatever the number of texts, so they are broadcast."""
+The vocabulary holds every word of at least LEAST texts, whatever the number of
+texts, and stays in the cluster. It is divided among tries by the beginnings and
+by the ends of its words, as one edit of a word of four and more letters spares
+one of them; a token is looked up in the tries of its beginning and its end, and,
+with a confusion undone, of what comes out. Only the candidates, and the counts of
+the pairs of words that they would stand in, are joined back to the texts."""
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeflow.runtime import cut, spread, table
 
-SHARE, LEAST = 1000, 4
-#: A broadcast vocabulary of more entries is refused.
-MOST = 4_000_000
+#: Texts that a word of the vocabulary, and a pair of words that counts as
+#: context, must be in.
+LEAST, PAIRED = 4, 2
+#: How many times as many texts as the misread form a word must be in to be what it
+#: stands for: by the number of neighbours (0, 1, 2) that confirm it.
+RATIOS = (30, 20, 5)
+#: Letters of a word from which on its trie is that of three letters, else of two.
+LONG = 8
+#: Parts into which the tokens of each trie are divided, so that a frequent
+#: beginning or end is not one task's.
+SALTS = 4
 #: Misread forms and what they stand for (fixed values).
 CONFUSIONS = {
     "c": ("e",), "f": ("t",), "1": ("i", "l"), "5": ("s",), "cl": ("d",), "0": ("o",), "ii": ("u",), "b": ("h",), "q": ("g",), "rn": ("m",),
@@ -166,45 +179,95 @@ class Trie:
         return best
 
 
+def confused(token: str) -> dict[str, tuple[int, bool]]:
+    """The token with one known confusion undone, in each way: (1, faint?)."""
+    out: dict[str, tuple[int, bool]] = {}
+    for i in range(len(token)):
+        for size in (1, 2):
+            left = token[i : i + size]
+            for right in CONFUSIONS.get(left, ()) if len(left) == size else ():
+                new = token[:i] + right + token[i + size :]
+                if new != token:
+                    out[new] = min(out.get(new, (1, True)), (1, left in FAINT))
+    return out
+
+
+def examined(low: str) -> bool:
+    """Whether a token in lower case may be a misread word."""
+    if len(low) < 2:
+        return False
+    return any(c.isdigit() for c in low) and any(c.isalpha() for c in low) or "ﬁ" in low or "ﬂ" in low or len(low) > 2 and low.isalpha()
+
+
+def searches(token: str) -> list[tuple[str, str, int, bool, bool]]:
+    """(trie, form, edits so far, faint so far, whether plain edits are tried) of
+    each search of a token. Without plain edits a form is looked up with one more
+    confusion if it is long, else as it is."""
+    plain = len(token) > 3 or not token.isalpha()
+    out = []
+    for form, (edits, faint) in [(token, (0, False)), *confused(token).items()]:
+        sizes = {3 if n >= LONG else 2 for n in range(len(form) - 1, len(form) + 2)}
+        for n in sizes:
+            out.append((f"<{n}{form[:n]}", form, edits, faint, plain and not edits))
+            out.append((f">{n}{form[-n:]}", form, edits, faint, plain and not edits))
+    return out
+
+
+def shelves(word: str) -> list[str]:
+    """The tries that hold a word of the vocabulary."""
+    n = 3 if len(word) >= LONG else 2
+    return [f"<{n}{word[:n]}", f">{n}{word[-n:]}"]
+
+
+def looked_up(trie: "Trie", token: str, form: str, edits: int, faint: bool, plain: bool) -> dict[str, tuple[int, int, bool]]:
+    """(edits, of these other than confusions, faint?) of the words of a trie
+    that a form is within reach of."""
+    distance = 1 if not edits else 1 if len(token) > 5 else 0
+    found = trie.within(form, distance, plain)
+    return {w: (edits + e, o, faint or f) for w, (e, o, f) in found.items() if edits + e}
+
+
 class Repairer:
-    """words: vocabulary with the number of texts of each; pairs: frequent pairs
-    of neighbouring words, as ``a b``."""
-
-    def __init__(self, words: dict[str, int], pairs: set[str]):
-        self.trie, self.pairs, self.known = Trie(words), pairs, {}
-        # What a misread word stands for is common: in one of 200 texts or more.
-        self.common = max(2 * LEAST, max(words.values(), default=0) // 200)
-
-    def _candidates(self, token: str) -> list[tuple[str, tuple[int, int, bool]]]:
-        got = self.known.get(token)
-        if got is None:
-            found = self.trie.within(token, 1) if len(token) > 3 or not token.isalpha() else self.trie.within(token, 1, plain=False)
-            if not any(not o for _, o, _ in found.values()) and len(token) > 5:
-                found |= self.trie.within(token, 2, plain=False)
-            if len(self.known) > 200_000:
-                self.known.clear()
-            got = self.known[token] = sorted(((w, c) for w, c in found.items()), key=lambda x: (x[1][1], x[1][0], x[1][2], -self.trie.words[x[0]], x[0]))
-        return got
+    """words: counts of words in texts; pairs: counts of pairs of neighbouring
+    words, as ``a b``. candidates: of each token, (word, cost) as the cluster has
+    looked them up; without it, the words are the vocabulary, in one trie."""
+
+    def __init__(self, words: dict[str, int], pairs: dict[str, int], candidates: dict[str, list] | None = None):
+        self.words, self.pairs, self.candidates = words, pairs, candidates
+        self.trie = Trie({w: n for w, n in words.items() if n >= LEAST}) if candidates is None else None
+
+    def _options(self, token: str) -> list[tuple[str, tuple[int, int, bool]]]:
+        if self.candidates is not None:
+            return self.candidates.get(token, [])
+        found: dict[str, tuple[int, int, bool]] = {}
+        for form, edits, faint, plain in dict.fromkeys(x[1:] for x in searches(token)):
+            for w, c in looked_up(self.trie, token, form, edits, faint, plain).items():
+                found[w] = min(found.get(w, c), c, key=_cheapest)
+        return sorted(found.items())
 
     def read(self, token: str, before: str, after: str) -> str | None:
         """What a misread token stands for; None for one that is not misread."""
         low = token.lower()
-        mixed = any(c.isdigit() for c in low) and any(c.isalpha() for c in low)
-        ligature = "ﬁ" in low or "ﬂ" in low
-        if len(low) < 2 or not mixed and not ligature and (len(low) < 3 or token.isupper() or not low.isalpha()):
+        if not examined(low) or low.isalpha() and token.isupper():
             return None
-        own = self.trie.words.get(low, 0)
-        options = [(w, c) for w, c in self._candidates(low) if not c[1] and c[0] and self.trie.words[w] >= 20 * max(own, 1) / (4 if not own else 1)]
-        best = None
-        for w, c in options:
-            near = (f"{before} {w}" in self.pairs) + (f"{w} {after}" in self.pairs)
-            rank = (near, -c[0], not c[2], self.trie.words[w])
+        mixed = any(c.isdigit() for c in low)
+        ligature = "ﬁ" in low or "ﬂ" in low
+        own, best = max(1, self.words.get(low, 0)), None
+        for w, (edits, others, faint) in self._options(low):
+            n = self.words.get(w, 0)
+            near = (self.pairs.get(f"{before} {w}", 0) >= PAIRED) + (self.pairs.get(f"{w} {after}", 0) >= PAIRED)
+            if n < max(LEAST, RATIOS[near] * own):
+                continue
+            rank = (near, -others, -edits, not faint, n, w)
             if best is None or rank > best[0]:
-                best = (rank, w, near, c)
+                best = (rank, w, near, edits, others, faint)
         if best:
-            _, w, near, (edits, _, faint) = best
-            sure = near == 2 or near and not faint and not own or not own and not faint and len(low) >= 7 and edits == 1
-            if mixed or ligature or sure and self.trie.words[w] >= self.common:
+            _, w, near, edits, others, faint = best
+            if others:  # a plain edit: between other words the form is a word of its own
+                sure = near == 2 and own < LEAST and len(low) > 5 and edits == 1
+            else:
+                sure = near == 2 or near and not faint and own < LEAST or own < LEAST and not faint and len(low) >= 7 and edits == 1
+            if sure or not others and (mixed or ligature):
                 return w
         if ligature:
             return low.replace("ﬁ", "fi").replace("ﬂ", "fl")
@@ -212,6 +275,23 @@ class Repairer:
             return low.translate(str.maketrans("0158", "oisb"))
         return None
 
+    def wanted(self, text: str) -> set[tuple[str, str]]:
+        """Pairs of words, and words with an empty second, whose counts the
+        repair of a text asks for."""
+        seen: set[tuple[str, str]] = set()
+
+        class Asked(dict):
+            def __init__(self, pair: bool):
+                self.pair = pair
+
+            def get(self, key: str, default: int = 0) -> int:
+                seen.add(tuple(key.split(" ", 1)) if self.pair else (key, ""))
+                return 1 << 30 if self.pair or " " not in key else 0
+
+        asked = Repairer(Asked(False), Asked(True), self.candidates)
+        asked.repair(text)
+        return seen
+
     def repair(self, text: str) -> tuple[list[str], str]:
         """(kinds of noise, repaired paragraphs) of a text."""
         lines = [re.sub(r"[ \t]+$", "", x).lstrip() for x in re.sub(r"\r\n?", "\n", sections(text)).replace("\f", "").replace("\v", "\n").split("\n")]
@@ -243,8 +323,8 @@ class Repairer:
                 hyphen = True
                 right = re.match(r"[^\W_]+", line)
                 a, b = re.search(r"[^\W_]*$", current[:-1])[0].lower(), right[0].lower() if right else ""
-                whole, parts = self.trie.words.get(a + b, 0), min(self.trie.words.get(a, 0), self.trie.words.get(b, 0))
-                compound = not whole and f"{a} {b}" in self.pairs and parts
+                whole, parts = self.words.get(a + b, 0), min(self.words.get(a, 0), self.words.get(b, 0))
+                compound = (whole < LEAST) & (self.pairs.get(f"{a} {b}", 0) >= PAIRED) & (parts >= LEAST)
                 current = current[:-1] + ("-" if compound else "") + line
             else:
                 sep = "" if current and ord(current[-1]) > 0x2E80 and ord(line[0]) > 0x2E80 else " "
@@ -272,49 +352,121 @@ class Repairer:
         return kinds, "\n\n".join(out)
 
 
-def _frequencies(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cheapest(cost: tuple[int, int, bool]) -> tuple:
+    return cost[1], cost[0], cost[2]
+
+
+def _read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, b, n, scanned): words (b empty) and pairs of neighbouring words, with
+    the number of texts of the batch that have them, and of scanned ones."""
     for batch in it:
-        count = Counter()
-        for text in batch["text"]:
+        count, scanned = Counter(), Counter()
+        for text, scan in zip(batch["text"], batch["scan"]):
             words = [w.lower() for w in _WORD.findall(re.sub(rf"[{HYPHENS}]\n", "", sections(text)))]
-            count.update(set(words))
-            count.update({f"{a} {b}" for a, b in zip(words, words[1:])})
-        yield pd.DataFrame({"item": list(count), "n": list(count.values())})
+            found = {(w, "") for w in words} | set(zip(words, words[1:]))
+            if scan:  # tokens as the repair sees them, too: a hyphen at a line end apart
+                scanned.update({(w.lower(), "") for w in _WORD.findall(text)} | {x for x in found if not x[1]})
+            count.update(found)
+        yield pd.DataFrame([(*x, count[x], scanned[x]) for x in count.keys() | scanned.keys()], columns=["a", "b", "n", "scanned"])
+
+
+def lexicon(texts: DataFrame, text: str = "text", scan: Column | None = None) -> DataFrame:
+    """(a, b, n, scanned) of words and pairs over all texts, summed by batches of
+    them; null texts have none. scan: which texts are to be repaired."""
+    rows = spread(texts.select(F.col(text).alias("text"), (F.lit(True) if scan is None else scan).alias("scan")).where("text IS NOT NULL"))
+    summed = rows.mapInPandas(_read, "a string, b string, n long, scanned long")
+    return cut(summed.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("scanned").alias("scanned")))
+
 
+def candidates(known: DataFrame) -> DataFrame:
+    """(token, found): of each token of a scanned text the words of the
+    vocabulary within reach, as (word, edits, others, faint), that are in enough
+    more texts than the token."""
+    words = known.where("b = ''").select(F.col("a").alias("w"), "n", "scanned")
+    spelled = words.where((F.col("n") >= LEAST) & ~F.col("w").rlike(r"\d"))
 
-def lexicon(texts: DataFrame, text: str = "text") -> tuple[dict[str, int], set[str]]:
-    """Words and neighbouring pairs of at least one in SHARE (and LEAST) of the
-    texts, counted over all of them; of bounded size, see above."""
-    total = texts.count()
-    counted = spread(texts.select(F.col(text).alias("text")).where("text IS NOT NULL")).mapInPandas(_frequencies, "item string, n long")
-    frequent = counted.groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST, total // SHARE))
-    rows = frequent.limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"over {MOST} frequent words and pairs: raise LEAST")
-    words = {r["item"]: r["n"] for r in rows if " " not in r["item"] and not any(c.isdigit() for c in r["item"])}
-    return words, {r["item"] for r in rows if " " in r["item"]}
+    def stock(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            rows = [(f"{key}|{salt}", w, w, n, 0, False, False) for w, n in zip(batch["w"], batch["n"]) for key in shelves(w) for salt in range(SALTS)]
+            yield pd.DataFrame(rows, columns=_ASKED)
 
+    def ask(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            rows = [(f"{key}|{zlib.crc32(t.encode()) % SALTS}", t, form, -max(1, n), edits, faint, plain) for t, n in zip(batch["w"], batch["n"]) if examined(t) for key, form, edits, faint, plain in searches(t)]
+            yield pd.DataFrame(rows, columns=_ASKED)
 
-def repaired(texts: DataFrame, key: str, text: str, known: tuple[dict[str, int], set[str]]) -> DataFrame:
+    def search(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shelf, held, trie = None, {}, None  # a trie's words come before what is looked up in it
+        for batch in it:
+            out = []
+            for key, token, form, n, edits, faint, plain in zip(*(batch[c] for c in _ASKED)):
+                if key != shelf:
+                    shelf, held, trie = key, {}, None
+                if n > 0:
+                    held[token] = n
+                    continue
+                if trie is None:
+                    trie = Trie(held)
+                for w, (e, o, f) in looked_up(trie, token, form, edits, faint, plain).items():
+                    if held[w] >= RATIOS[2] * -n:
+                        out.append((token, w, e, o, f))
+            yield pd.DataFrame(out, columns=["token", "w", "edits", "others", "faint"])
+
+    schema = "key string, token string, form string, n long, edits int, faint boolean, plain boolean"
+    rows = spelled.mapInPandas(stock, schema).unionByName(words.where("scanned > 0").select("w", "n").mapInPandas(ask, schema))
+    rows = spread(rows, "key").sortWithinPartitions("key", F.desc("n"))
+    found = rows.mapInPandas(search, "token string, w string, edits int, others int, faint boolean")
+    cost = F.struct("others", "edits", "faint")
+    least = found.groupBy("token", "w").agg(F.min(cost).alias("c"))
+    return least.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("w", "c.edits", "c.others", "c.faint"))).alias("found"))
+
+
+_ASKED = ["key", "token", "form", "n", "edits", "faint", "plain"]
+
+
+def repaired(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
     """(key, kinds, repaired) of each distinct key with a text: kinds is empty
     for a clean text. Rows of one key are one text (the least one counts); null
     and empty texts have no row. known: of ``lexicon``."""
-    shared = texts.sparkSession.sparkContext.broadcast(known)
-    rows = texts.where(F.col(key).isNotNull() & (F.col(text) != "")).groupBy(F.col(key).alias("k")).agg(F.min(text).alias("text"))
+    rows = spread(texts.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), F.col(text).alias("text")), "k")
+    rows = rows.groupBy("k").agg(F.min("text").alias("text"))
     kind = rows.schema["k"].dataType.simpleString()
 
+    def tokens(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            found = [(k, t) for k, text in zip(batch["k"], batch["text"]) for t in {w.lower() for form in (text, re.sub(rf"[{HYPHENS}]\s*", "", text)) for w in _WORD.findall(sections(form))} if examined(t)]
+            yield pd.DataFrame(found, columns=["k", "token"])
+
+    def options(found) -> dict[str, list]:
+        return {x["token"]: [(c["w"], (c["edits"], c["others"], c["faint"])) for c in x["found"]] for x in found} if found is not None else {}
+
+    def ask(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            out = [(k, a, b) for k, text, found in zip(batch["k"], batch["text"], batch["found"]) for a, b in Repairer({}, {}, options(found)).wanted(text)]
+            yield pd.DataFrame(out, columns=["k", "a", "b"])
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repairer = Repairer(*shared.value)
         for batch in it:
-            out = [(k, *repairer.repair(t)) for k, t in zip(batch["k"], batch["text"])]
+            out = []
+            for k, text, found, counts in zip(batch["k"], batch["text"], batch["found"], batch["counts"]):
+                counts = [] if counts is None else counts
+                words = {x["a"]: x["n"] for x in counts if not x["b"]}
+                pairs = {f"{x['a']} {x['b']}": x["n"] for x in counts if x["b"]}
+                out.append((k, *Repairer(words, pairs, options(found)).repair(text)))
             yield pd.DataFrame(out, columns=["k", "kinds", "repaired"])
 
-    return spread(rows, "k").mapInPandas(run, f"k {kind}, kinds array<string>, repaired string").withColumnRenamed("k", key)
+    suspect = rows.mapInPandas(tokens, f"k {kind}, token string").join(candidates(known), "token")
+    suspect = suspect.groupBy("k").agg(F.collect_list(F.struct("token", "found")).alias("found"))
+    rows = cut(rows.join(suspect, "k", "left"))
+    counts = rows.mapInPandas(ask, f"k {kind}, a string, b string").join(known.select("a", "b", "n"), ["a", "b"])
+    counts = counts.groupBy("k").agg(F.collect_list(F.struct("a", "b", "n")).alias("counts"))
+    return spread(rows.join(counts, "k", "left"), "k").mapInPandas(run, f"k {kind}, kinds array<string>, repaired string").withColumnRenamed("k", key)
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "sources").select("source_id", "level", "text")
-    return repaired(sources.where("level IN ('pdf_text', 'ocr')"), "source_id", "text", lexicon(sources))
+    scan = F.col("level").isin("pdf_text", "ocr")
+    return repaired(sources.where(scan), "source_id", "text", lexicon(sources, "text", F.coalesce(scan, F.lit(False))))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

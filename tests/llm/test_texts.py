@@ -95,13 +95,61 @@ class TestTruncation:
 class TestScanned:
     def known(self):
         words = {w: 500 for w in "the trial enrolled older pregnant women at nine sites between and score returned to its baseline interval dose limiting long term signal stayed modern burden quality".split()}
-        return words, {"dose limiting", "long term", "pregnant women", "the trial", "its baseline"}
+        return words, dict.fromkeys(["dose limiting", "long term", "pregnant women", "older pregnant", "the trial", "its baseline"], 9)
 
     @pytest.mark.parametrize("token,want", [("preqnant", "pregnant"), ("intcrval", "interval"), ("bascline", "baseline"), ("burclen", "burden"), ("qiiality", "quality"), ("rnodern", "modern"), ("s1tes", "sites"), ("duv0emia", "duvoemia"), ("spandaixaban", None), ("KORIX", None), ("women", None)])
     def test_misread(self, token, want):
         r = scanned.Repairer(*self.known())
         assert r.read(token, "older", "women") == want
 
+    NAMED = {"hcspital": "hospital", "hospitol": "hospital", "trestment": "treatment", "treatnent": "treatment", "respouse": "response"}
+
+    def plain_edits(self):
+        words = {w: 300 for w in ("hospital", "treatment", "response", "the", "was", "given", "clear", "of")}
+        pairs = {f"{a} {b}": 40 for w in ("hospital", "treatment", "response") for a, b in (("the", w), (w, "was"))}
+        return words, pairs
+
+    def test_plain_edits_win_where_the_context_confirms(self, monkeypatch):
+        r = scanned.Repairer(*self.plain_edits())
+        for bad, good in self.NAMED.items():
+            assert r.read(bad, "the", "was") == good and r.read(bad, "given", "clear") is None
+        for rare in ("hospitel", "rexponze", "treadment"):  # words of their own stay: they are in several texts
+            r.words[rare] = 30
+            assert r.read(rare, "the", "was") is None
+        honest = scanned.Trie.within
+        monkeypatch.setattr(scanned.Trie, "within", lambda self, token, distance, plain=True: honest(self, token, distance, False))
+        assert not any(r.read(bad, "the", "was") for bad in self.NAMED)
+
+    def test_tries_of_beginnings_and_ends_hold_all_candidates(self):
+        rng, letters = random.Random(5), "abcdeimnru"
+        words = {"".join(rng.choice(letters) for _ in range(rng.randrange(2, 12))): 9 for _ in range(400)}
+        whole, parts = scanned.Trie(words), {}
+        for w in words:
+            for key in scanned.shelves(w):
+                parts.setdefault(key, {})[w] = 9
+        parts = {key: scanned.Trie(held) for key, held in parts.items()}
+        for w in list(words)[:150]:
+            i, c = rng.randrange(len(w)), rng.choice(letters)
+            t = rng.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w.replace("m", "rn", 1).replace("d", "cl", 1)])
+            if not scanned.examined(t):
+                continue
+            want, got = set(), set()
+            for key, form, edits, faint, plain in scanned.searches(t):
+                want |= set(scanned.looked_up(whole, t, form, edits, faint, plain))
+                got |= set(scanned.looked_up(parts[key], t, form, edits, faint, plain)) if key in parts else set()
+            assert got == want, (w, t)
+
+    def test_the_cluster_repairs_as_one_trie_does(self, spark):
+        rng, good = random.Random(7), ["The hospital gave the treatment and the response was clear.", "In the hospital the treatment was given to older women.", "The response was weak while the treatment went on."]
+        rows = [(i, " ".join(rng.choice(good) for _ in range(3))) for i in range(40)] + [(100, "In the hcspital the trestment was given and the respouse was weak."), (101, "Older worncn in the hospital."), (102, "A hospitel band played.")]
+        df = spark.createDataFrame(rows, "k long, text string")
+        got = {r.k: (r.kinds, r.repaired) for r in scanned.repaired(df, "k", "text", scanned.lexicon(df)).collect()}
+        assert got[100] == (["glyph"], "In the hospital the treatment was given and the response was weak.")
+        assert got[101] == (["glyph"], "Older women in the hospital.") and got[102] == ([], "A hospitel band played.")
+        more = df.unionAll(df.where("k < 100").selectExpr("explode(sequence(1, 9)) AS i", "k", "text").selectExpr("k + 1000 * i", "text"))  # ten times as many texts
+        again = {r.k: (r.kinds, r.repaired) for r in scanned.repaired(more, "k", "text", scanned.lexicon(more)).where("k between 100 and 102").collect()}
+        assert again == {k: got[k] for k in again} and len(again) == 3
+
     def test_automaton_is_complete(self):
         rng = random.Random(3)
         words = sorted({"".join(rng.choice("abcdeim") for _ in range(rng.randrange(2, 7))) for _ in range(150)})
