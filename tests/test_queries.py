@@ -9,11 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from citeflow.plans import curation, prose, records, references, reviews, searches
+from citeflow.plans import audits, curation, prose, records, references, reviews, searches
 
 DATA = Path("/root/testdata/sf0.001")
 ROOT = Path(__file__).resolve().parent.parent
-CORE = [(n, m) for m in (references, records, searches, reviews, prose, curation) for n in m.QUERIES]
+CORE = [(n, m) for m in (references, records, searches, reviews, prose, curation, audits) for n in m.QUERIES]
 
 
 def plain(v):
