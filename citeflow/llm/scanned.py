@@ -179,37 +179,42 @@ class Trie:
         return best
 
 
-def confused(token: str) -> dict[str, tuple[int, bool]]:
-    """The token with one known confusion undone, in each way: (1, faint?)."""
-    out: dict[str, tuple[int, bool]] = {}
+def confused(token: str) -> dict[str, tuple[bool, int]]:
+    """The token with one known confusion undone, in each way: (faint?, where)."""
+    out: dict[str, tuple[bool, int]] = {}
     for i in range(len(token)):
         for size in (1, 2):
             left = token[i : i + size]
             for right in CONFUSIONS.get(left, ()) if len(left) == size else ():
                 new = token[:i] + right + token[i + size :]
                 if new != token:
-                    out[new] = min(out.get(new, (1, True)), (1, left in FAINT))
+                    out[new] = min(out.get(new, (True, i)), (left in FAINT, i))
     return out
 
 
+_MIXED = re.compile(r"\d.*[^\W\d_]|[^\W\d_].*\d")
+
+
 def examined(low: str) -> bool:
     """Whether a token in lower case may be a misread word."""
-    if len(low) < 2:
-        return False
-    return any(c.isdigit() for c in low) and any(c.isalpha() for c in low) or "ﬁ" in low or "ﬂ" in low or len(low) > 2 and low.isalpha()
+    if low.isalpha():
+        return len(low) > 2 or len(low) > 1 and ("ﬁ" in low or "ﬂ" in low)
+    return bool(_MIXED.search(low)) or "ﬁ" in low or "ﬂ" in low
 
 
 def searches(token: str) -> list[tuple[str, str, int, bool, bool]]:
     """(trie, form, edits so far, faint so far, whether plain edits are tried) of
     each search of a token. Without plain edits a form is looked up with one more
-    confusion if it is long, else as it is."""
+    confusion if it is long, else as it is. Of two confusions one is undone and
+    the other looked up: the first one undone leaves the beginning as it should
+    be, unless both are there, and then the end is."""
     plain = len(token) > 3 or not token.isalpha()
     out = []
-    for form, (edits, faint) in [(token, (0, False)), *confused(token).items()]:
-        sizes = {3 if n >= LONG else 2 for n in range(len(form) - 1, len(form) + 2)}
-        for n in sizes:
+    for form, edits, faint, at in [(token, 0, False, 0), *((form, 1, faint, at) for form, (faint, at) in confused(token).items())]:
+        for n in {3 if n >= LONG else 2 for n in range(len(form) - 1, len(form) + 2)}:
             out.append((f"<{n}{form[:n]}", form, edits, faint, plain and not edits))
-            out.append((f">{n}{form[-n:]}", form, edits, faint, plain and not edits))
+            if at <= n and (not edits or len(token) > 5):
+                out.append((f">{n}{form[-n:]}", form, edits, faint, plain and not edits))
     return out
 
 
