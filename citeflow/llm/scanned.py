@@ -54,6 +54,7 @@ _PAGE = re.compile(r"^(?:\[\s*\d{1,5}\s*\]|[-–—]\s*\d{1,5}\s*[-–—]|(?:p|
 _BOTH = re.compile(r"^(?:\d{1,5}(?:\s{2,}|\s*[|·]\s*)(\S.*)|(\S.*?)(?:\s{2,}|\s*[|·]\s*)\d{1,5})$")
 _BROKEN = re.compile(rf"([^\W\d_])([{HYPHENS}])$")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+_ENDED = re.compile(r"[.!?:。][\"”’)]*$")
 _LISTED = re.compile(r"^(?:[-*•–]|\(?\d{1,3}[.)]|[a-z]\))\s")
 
 
@@ -253,10 +254,13 @@ class Repairer:
     def read(self, token: str, before: str, after: str) -> str | None:
         """What a misread token stands for; None for one that is not misread."""
         low = token.lower()
-        if not examined(low) or low.isalpha() and token.isupper():
-            return None
-        mixed = any(c.isdigit() for c in low)
+        alone = low.isalpha()
         ligature = "ﬁ" in low or "ﬂ" in low
+        if alone and not ligature and (token.isupper() or len(low) < 3 or self.candidates is not None and low not in self.candidates):
+            return None
+        if not examined(low):
+            return None
+        mixed = not alone and bool(_MIXED.search(low))
         own, best = max(1, self.words.get(low, 0)), None
         for w, (edits, others, faint) in self._options(low):
             n = self.words.get(w, 0)
@@ -299,7 +303,7 @@ class Repairer:
 
     def repair(self, text: str) -> tuple[list[str], str]:
         """(kinds of noise, repaired paragraphs) of a text."""
-        lines = [re.sub(r"[ \t]+$", "", x).lstrip() for x in re.sub(r"\r\n?", "\n", sections(text)).replace("\f", "").replace("\v", "\n").split("\n")]
+        lines = [x.rstrip(" \t").lstrip() for x in re.sub(r"\r\n?", "\n", sections(text)).replace("\f", "").replace("\v", "\n").split("\n")]
         found, header, page = furniture(lines)
         paragraphs: list[str] = []
         current, hyphen, pending = "", False, False  # pending: furniture since the last text
@@ -317,14 +321,14 @@ class Repairer:
             if not line:
                 # A blank line beside furniture within a sentence is no end of a paragraph.
                 k = next((k for k in range(i + 1, len(lines)) if lines[k] and k not in found), None)
-                goes_on = k is not None and (lines[k][0].islower() or bool(_BROKEN.search(current)))
-                if not ((pending or i + 1 in found) and current and goes_on and not re.search(r"[.!?:。][\"”’)]*$", current)):
+                goes_on = k is not None and (lines[k][0].islower() or bool(_BROKEN.search(current[-2:])))
+                if not ((pending or i + 1 in found) and current and goes_on and not _ENDED.search(current[-20:])):
                     close()
                 continue
-            if current and pending and re.search(r"[.!?。][\"”’)]*$", current) and i and not lines[i - 1]:
+            if current and pending and (e := _ENDED.search(current[-20:])) and e[0][0] != ":" and i and not lines[i - 1]:
                 close()
             pending = False
-            if current and (m := _BROKEN.search(current)) and (line[0].isalpha()):
+            if current and _BROKEN.search(current[-2:]) and (line[0].isalpha()):
                 hyphen = True
                 right = re.match(r"[^\W_]+", line)
                 a, b = re.search(r"[^\W_]*$", current[:-1])[0].lower(), right[0].lower() if right else ""
