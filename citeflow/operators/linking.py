@@ -46,13 +46,19 @@ def suggestions(queries: DataFrame, catalogue: DataFrame, k: int = 3, least: flo
     words = c.select(F.explode("cw").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
 
     def prefixed(rows: DataFrame, ident: str, w: str) -> DataFrame:
+        """(ident, size, p, at): the first words of each in the common order."""
         s = rows.select(ident, F.explode(w).alias("t")).join(words, "t", "left").groupBy(ident).agg(
             F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0).cast("long")).alias("df"), "t"))), lambda x: x["t"]).alias("s")
         )
-        keep = (F.size("s") - F.ceil(least * F.size("s")) + 1).cast("int")
-        return rows.join(s, ident).withColumn("p", F.explode(F.slice("s", F.lit(1), keep))).drop("s")
+        keep = (F.size("s") - F.ceil(least * F.size("s") - 1e-9) + 1).cast("int")
+        return s.select(ident, F.size("s").alias(f"{ident}_n"), F.posexplode(F.slice("s", F.lit(1), keep)).alias(f"{ident}_at", "p"))
 
-    pairs = prefixed(q, "qid", "qw").join(prefixed(c, "cid", "cw"), "p").groupBy("qid", "cid").agg(F.first("qw").alias("qw"), F.first("cw").alias("cw"))
+    # Ids alone meet. At their first common word two titles can have at most one word and what follows it in common.
+    m = prefixed(q, "qid", "qw").join(prefixed(c, "cid", "cw"), "p")
+    sizes = F.least("qid_n", "cid_n") >= least * F.greatest("qid_n", "cid_n") - 1e-9
+    rest = 1 + F.least(F.col("qid_n") - F.col("qid_at"), F.col("cid_n") - F.col("cid_at")) - 1
+    enough = rest >= least / (1 + least) * (F.col("qid_n") + F.col("cid_n")) - 1e-9
+    pairs = m.where(sizes & enough).select("qid", "cid").distinct().join(q, "qid").join(c, "cid")
     scored = pairs.withColumn("similarity", R.jaccard(F.col("qw"), F.col("cw"))).where(F.col("similarity") >= least)
     w = Window.partitionBy("qid").orderBy(F.desc("similarity"), F.col("cid"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "cid", "similarity", "rank", (F.col("similarity") >= 0.6).alias("match"))

@@ -83,15 +83,21 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) ->
     return held.join(sizes, same).withColumn(name, (local + F.col("__before")).cast("int")).select(*rows.columns, name)
 
 
-def snowball(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def snowball(edges: DataFrame, seeds: DataFrame, min_overlap: int = 1) -> DataFrame:
     """One hop from seeds (group, id) over edges (citing, cited): candidates
     that are no seed of the group, with how many of its seeds cite them
-    (ancestor) or are cited by them (descendant)."""
+    (ancestor) or are cited by them (descendant), at least min_overlap; in groups of
+    which no more than two seeds have an edge, one is enough."""
     up = edges.join(seeds, edges["citing"] == seeds["id"]).select("group", F.col("cited").alias("candidate"), F.lit("ancestor").alias("side"), "id")
     down = edges.join(seeds, edges["cited"] == seeds["id"]).select("group", F.col("citing").alias("candidate"), F.lit("descendant").alias("side"), "id")
     found = up.unionByName(down).distinct()
     found = found.join(seeds.select("group", F.col("id").alias("candidate")), ["group", "candidate"], "left_anti")
-    return found.groupBy("group", "candidate", "side").agg(F.count("*").alias("overlap"))
+    counted = found.groupBy("group", "candidate", "side").agg(F.count("*").alias("overlap"))
+    if min_overlap <= 1:
+        return counted
+    ends = edges.select(F.col("citing").alias("id")).union(edges.select("cited")).distinct()
+    resolved = seeds.distinct().join(ends, "id", "left_semi").groupBy("group").agg(F.count("*").alias("__resolved"))
+    return counted.join(resolved, "group", "left").where((F.col("overlap") >= min_overlap) | (F.col("__resolved") <= 2)).drop("__resolved")
 
 
 def upper_median(rows: DataFrame, group: list[str], value: str) -> DataFrame:

@@ -17,7 +17,7 @@ from citeflow.sources import files
 
 def c12_author_names(s, d):
     """Each author as family name and initials."""
-    a = table(s, d, "entries").select(F.explode("authors").alias("author")).where("author LIKE '%,%'").distinct()
+    a = table(s, d, "entries").select(F.explode("authors").alias("author")).where("author IS NOT NULL").distinct()
     given = F.trim(F.split_part("author", F.lit(","), F.lit(2)))
     letters = F.array_join(F.transform(F.regexp_extract_all(given, F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lit("."))), " ")
     family = F.trim(F.split_part("author", F.lit(","), F.lit(1)))
@@ -40,7 +40,7 @@ def c31_journal_signals(s, d):
     return j.groupBy("journal").agg(F.count("*").alias("entries"), F.count_if(weak).alias("weak"))
 
 
-def d13_issn_records(s, d):
+def issn_records(s, d):
     i = _entries(s, d).select(F.explode("issn").alias("i")).where("i IS NOT NULL")
     return i.groupBy(F.upper(F.regexp_replace("i", "[^0-9Xx]", "")).alias("issn")).agg(F.count("*").alias("entries"))
 
@@ -117,16 +117,16 @@ def a13_known_items(s, d):
     return e.groupBy("topic").agg(F.count("*").alias("seeds"), F.countDistinct(doi_key(F.col("doi"))).alias("dois"))
 
 
-NAMES = [c12_author_names, c24_corrections, c31_journal_signals, d13_issn_records, e22_cited_clusters, h2_store_dump, j28_paragraphs, b7_asset_union, b8_gap_notes, i7_doi_sets, f21_partial_checks, k11_prune_targets, k17_apply_results, a13_known_items]
+NAMES = [c12_author_names, c24_corrections, c31_journal_signals, issn_records, e22_cited_clusters, h2_store_dump, j28_paragraphs, b7_asset_union, b8_gap_notes, i7_doi_sets, f21_partial_checks, k11_prune_targets, k17_apply_results, a13_known_items]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _EK = f"ek AS (SELECT DISTINCT {doi_sql('doi')} AS k FROM e WHERE {doi_sql('doi')} IS NOT NULL)"
 _HK = f"hk AS (SELECT DISTINCT {doi_sql('doi')} AS k FROM hits WHERE {doi_sql('doi')} IS NOT NULL)"
 SQL = {
-    "c12_author_names": "WITH n AS (SELECT DISTINCT unnest(authors) AS author FROM entries), p AS (SELECT author, trim(split_part(author, ',', 1)) AS f, array_to_string(list_transform(regexp_extract_all(trim(split_part(author, ',', 2)), '[\\p{L}]+'), lambda w: upper(substr(w, 1, 1)) || '.'), ' ') AS l FROM n WHERE author LIKE '%,%') SELECT author, CASE WHEN l <> '' THEN f || ', ' || l ELSE f END AS formatted FROM p",
+    "c12_author_names": "WITH n AS (SELECT DISTINCT unnest(authors) AS author FROM entries), p AS (SELECT author, trim(split_part(author, ',', 1)) AS f, array_to_string(list_transform(regexp_extract_all(trim(split_part(author, ',', 2)), '[\\p{L}]+'), lambda w: upper(substr(w, 1, 1)) || '.'), ' ') AS l FROM n WHERE author IS NOT NULL) SELECT author, CASE WHEN l <> '' THEN f || ', ' || l ELSE f END AS formatted FROM p",
     "c24_corrections": f"WITH {E_SQL}, c AS (SELECT lower(unnest(verification.corrections)) AS c FROM e) SELECT CASE WHEN contains(c, 'retract') THEN 'retraction' WHEN contains(c, 'concern') THEN 'concern' WHEN c IN ('correction','erratum','corrigendum') THEN 'erratum' ELSE 'other' END AS kind, count(*) AS notices FROM c WHERE c IS NOT NULL GROUP BY 1",
     "c31_journal_signals": f"WITH {E_SQL} SELECT journal, count(*) AS entries, count(*) FILTER (coalesce(journal_signals.h_index, 999) < 10 AND NOT coalesce(journal_signals.in_doaj, false)) AS weak FROM e WHERE journal_signals IS NOT NULL AND journal <> '' GROUP BY 1",
-    "d13_issn_records": f"WITH {E_SQL}, i AS (SELECT unnest(issn) AS i FROM e) SELECT upper(regexp_replace(i, '[^0-9Xx]', '', 'g')) AS issn, count(*) AS entries FROM i WHERE i IS NOT NULL GROUP BY 1",
+    "issn_records": f"WITH {E_SQL}, i AS (SELECT unnest(issn) AS i FROM e) SELECT upper(regexp_replace(i, '[^0-9Xx]', '', 'g')) AS issn, count(*) AS entries FROM i WHERE i IS NOT NULL GROUP BY 1",
     "e22_cited_clusters": f"WITH {C_SQL}, {E_SQL}, u AS (SELECT DISTINCT topic, key FROM c), k AS (SELECT topic, citation_key, entry_id, {_CLUSTER} AS cluster FROM e) SELECT k.topic, cluster, count(DISTINCT entry_id) AS entries FROM k JOIN u ON u.topic = k.topic AND u.key = k.citation_key WHERE cluster IS NOT NULL GROUP BY ALL HAVING count(DISTINCT entry_id) > 1",
     "h2_store_dump": f"WITH {C_SQL}, {E_SQL}, u AS (SELECT DISTINCT topic, key FROM c), k AS (SELECT e.topic, gap, citation_key, entry_id, u.key IS NOT NULL AS cited FROM e LEFT JOIN u ON u.topic = e.topic AND u.key = e.citation_key) SELECT topic, entry_id, cited, CAST(row_number() OVER (PARTITION BY topic ORDER BY coalesce(gap, ''), cited DESC, coalesce(citation_key, ''), entry_id) AS INTEGER) AS place FROM k",
     "j28_paragraphs": "WITH p AS (SELECT doc_id, unnest(range(len(regexp_split_to_array(text, '\\n{2,}')))) AS paragraph, unnest(regexp_split_to_array(text, '\\n{2,}')) AS p FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, CAST(len(regexp_extract_all(p, '\\[@([\\w\\-:]+)\\]', 1)) AS INTEGER) AS citations FROM p) SELECT * FROM n WHERE citations > 0",

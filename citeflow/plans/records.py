@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from citeflow.functions import records as R
 from citeflow.functions.text import doi_key, plain
-from citeflow.operators import linking, store
+from citeflow.operators import linking, ranking, store
 from citeflow.runtime import table
 
 T = table
 #: Terms of the keyword search, a parameter of the report.
 KEYWORDS = ["randomised", "dose", "renal"]
 #: Words of titles that carry no topic (fixed values).
-STOP = ("analysis approach association based between clinical comparison effect effects evidence from impact into meta methods model outcomes over patients "
-        "randomized randomised review studies study systematic trial trials with without using their that this among across during after before versus role data results").split()
+STOP = (
+    "analysis", "approach", "association", "based", "between", "clinical", "comparison", "effect", "effects", "evidence", "from", "impact", "into", "meta", "methods", "model",
+    "outcomes", "over", "patients", "randomized", "randomised", "review", "studies", "study", "systematic", "trial", "trials", "with", "without", "using", "their", "that", "this",
+    "among", "across", "during", "after", "before", "versus", "role", "data", "results",
+)
 
 
 def _entries(s, d):
@@ -70,11 +73,10 @@ def c7_title_clusters(s, d):
 
 def c8_citation_keys(s, d):
     e = _entries(s, d).withColumn("base", R.key_base(F.col("authors"), F.col("year")))
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("topic", "base").orderBy("seq"))
+    e = ranking.numbered(e, ["topic", "base"], ["seq"], "n")  # a base may hold any number of entries
+    n = F.col("n")
     suffix = F.when(F.col("n") == 1, "").when(F.col("n") <= 11, F.substring(F.lit("abcdefghij"), F.col("n") - 1, F.lit(1))).otherwise("x")
-    return e.withColumn("n", n).select("entry_id", "topic", F.concat("base", suffix).alias("generated_key"), R.hashed_key(F.col("base"), F.col("doi")).alias("hashed_key"))
+    return e.select("entry_id", "topic", F.concat("base", suffix).alias("generated_key"), R.hashed_key(F.col("base"), F.col("doi")).alias("hashed_key"))
 
 
 def c10_references(s, d):
@@ -119,14 +121,18 @@ def d12_doi_shapes(s, d):
     return T(s, d, "hits").groupBy("source", F.coalesce(F.col("doi").rlike(r"^10\..+/.+$"), F.lit(False)).alias("valid")).agg(F.count("*").alias("n"))
 
 
+def _standing(s, d):
+    """The first record of each DOI, without those retracted or superseded."""
+    e = store.normalized_entries(T(s, d, "entries")).groupBy("doi").agg(F.min_by(F.struct("title", "authors", "year", "journal", "retracted", "superseded_by"), "seq").alias("r"))
+    return e.where("doi <> ''").select("doi", "r.*").where("NOT retracted AND superseded_by IS NULL")
+
+
 def e7_near_duplicate_titles(s, d):
-    e = store.normalized_entries(T(s, d, "entries")).groupBy("doi").agg(F.min_by(F.struct("title", "authors", "year", "journal"), "seq").alias("r")).where("doi <> ''").select("doi", "r.*")
-    return linking.near_duplicates(e).select("old", "new", F.round("similarity", 6).alias("similarity"))
+    return linking.near_duplicates(_standing(s, d)).select("old", "new", F.round("similarity", 6).alias("similarity"))
 
 
 def k16_supersession(s, d):
-    e = store.normalized_entries(T(s, d, "entries")).groupBy("doi").agg(F.min_by(F.struct("title", "authors", "year", "journal"), "seq").alias("r")).where("doi <> ''").select("doi", "r.*")
-    out = store.supersession(linking.near_duplicates(e).withColumn("similarity", F.round("similarity", 9)))
+    out = store.supersession(linking.near_duplicates(_standing(s, d)).withColumn("similarity", F.round("similarity", 9)))
     return out.select("doi", "superseded_by", F.array_join("supersedes", "|").alias("supersedes"))
 
 
@@ -302,8 +308,8 @@ _WORDS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\
 _JAC = "(CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END)"
 _BITS = "CAST(('0x' || substr(sha1(lower(doi)), 1, 5)) AS INTEGER)"
 _NEAR = f"""
-n AS (SELECT lower(coalesce(doi,'')) AS doi, coalesce(title,'') AS title, {_STR.format('authors')} AS authors, year, coalesce(journal,'') AS journal, seq FROM entries),
-u AS (SELECT * FROM n WHERE doi <> '' QUALIFY row_number() OVER (PARTITION BY doi ORDER BY seq) = 1),
+n AS (SELECT lower(coalesce(doi,'')) AS doi, coalesce(title,'') AS title, {_STR.format('authors')} AS authors, year, coalesce(journal,'') AS journal, coalesce(retracted, false) AS gone, coalesce(superseded_by, '') AS successor, seq FROM entries),
+u AS (SELECT * FROM (SELECT * FROM n WHERE doi <> '' QUALIFY row_number() OVER (PARTITION BY doi ORDER BY seq) = 1) WHERE NOT gone AND successor = ''),
 w AS (SELECT doi, {_WORDS.format('title')} AS w, lower(trim(split_part(authors[1], ',', 1))) AS fam, CAST(year AS INTEGER) AS year,
   (starts_with(doi,'10.1101/') OR starts_with(doi,'10.21203/') OR starts_with(doi,'10.31219/') OR starts_with(doi,'10.20944/')
    OR lower(trim(journal)) IN ('biorxiv','medrxiv','research square','preprints.org','')) AS pre FROM u WHERE len(authors) > 0),

@@ -56,7 +56,7 @@ def a14_screening_rows(s, d):
     return r.groupBy("verdict", "reason").agg(F.count("*").alias("rows"), F.countDistinct("item").alias("items"))
 
 
-def a15_screening_verdicts(s, d):
+def screening_verdicts(s, d):
     """The verdict on each item in a topic: that of its first row."""
     r = prose.pipe_rows(_docs(s, d), "doc_id", "text").join(_docs(s, d).select("doc_id", "topic"), "doc_id")
     return r.groupBy("topic", "item").agg(F.min_by("verdict", F.struct("doc_id", "line")).alias("verdict"), F.count("*").alias("rows"))
@@ -97,7 +97,7 @@ def e29_brief(s, d):
     return c.groupBy("topic", "k").agg(F.min_by("claim_id", F.struct("round", "claim_id")).alias("claim_id"), F.min("round").cast("int").alias("round"))
 
 
-def f18_verdict_merge(s, d):
+def verdict_merge(s, d):
     """One verdict for each key of a topic: any suspect decides, all faithful
     are faithful, the rest needs review."""
     c = _claims(s, d).select("topic", loose_key(F.col("key")).alias("k"), "verdict").where("k IS NOT NULL")
@@ -105,16 +105,10 @@ def f18_verdict_merge(s, d):
     return g.select("topic", "k", "claims", F.when(F.col("s"), "suspect").when(F.col("f"), "faithful").otherwise("needs_review").alias("verdict"))
 
 
-def f17_verdict_counts(s, d):
+def verdict_counts(s, d):
     return _claims(s, d).groupBy("topic", "verdict", "risk").agg(F.count("*").alias("claims"))
 
 
-def g10_audit_sample(s, d):
-    """Eight faithful claims of each topic, high risk first."""
-    c = _claims(s, d).where("verdict = 'faithful'")
-    return ranking.top(c, ["topic"], [F.when(F.col("risk") == "high", 0).otherwise(1), F.coalesce("key", F.lit("")), F.substring("sentence", 1, 40), F.col("claim_id")], 8).select("topic", "claim_id", "rank")
-
-
 def j30_claim_ids(s, d):
     c = _claims(s, d)
     text = F.trim(F.coalesce(F.when(F.col("atomic_claim") != "", F.col("atomic_claim")), F.col("sentence"), F.lit("")))
@@ -146,7 +140,7 @@ def e17_most_shared_terms(s, d):
     return linking.most_shared(c, e, 3)
 
 
-NAMES = [i6_cited_keys, e12_citation_sections, g9_section_sizes, j26_cited_sentences, e25_numbers_near_citations, a14_screening_rows, a15_screening_verdicts, e1_citation_status, e4_uncited, k9_keep_uncited, f2_citations_per_gap, e29_brief, f18_verdict_merge, f17_verdict_counts, g10_audit_sample, j30_claim_ids, j1_claim_numbers, m1_number_check, e17_most_shared_terms]
+NAMES = [i6_cited_keys, e12_citation_sections, g9_section_sizes, j26_cited_sentences, e25_numbers_near_citations, a14_screening_rows, screening_verdicts, e1_citation_status, e4_uncited, k9_keep_uncited, f2_citations_per_gap, e29_brief, verdict_merge, verdict_counts, j30_claim_ids, j1_claim_numbers, m1_number_check, e17_most_shared_terms]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _KEY = "nullif(regexp_replace(lower({}), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '')"
@@ -163,15 +157,14 @@ SQL = {
     "j26_cited_sentences": f"WITH {_SENT} SELECT doc_id, line, nth, cited, CAST(length(sentence) AS INTEGER) AS chars, 'c' || substr(sha1(cited || '|' || sentence), 1, 8) AS claim_id FROM s",
     "e25_numbers_near_citations": f"WITH {_SENT} SELECT doc_id, count(*) AS citations, count(*) FILTER (regexp_matches(right(sentence, 40), '[0-9]')) AS after_number FROM s GROUP BY 1",
     "a14_screening_rows": f"WITH {_PIPE} SELECT verdict, reason, count(*) AS rows, count(DISTINCT item) AS items FROM p GROUP BY 1, 2",
-    "a15_screening_verdicts": f"WITH {_PIPE} SELECT topic, item, arg_min(verdict, struct_pack(d := doc_id, l := line)) AS verdict, count(*) AS rows FROM p JOIN documents USING (doc_id) GROUP BY 1, 2",
+    "screening_verdicts": f"WITH {_PIPE} SELECT topic, item, arg_min(verdict, struct_pack(d := doc_id, l := line)) AS verdict, count(*) AS rows FROM p JOIN documents USING (doc_id) GROUP BY 1, 2",
     "e1_citation_status": f"WITH {C_SQL}, {E_SQL}, k AS (SELECT topic, {_KEY.format('citation_key')} AS k, verification_status, retracted FROM e WHERE {_KEY.format('citation_key')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic, k ORDER BY entry_id) = 1), j AS (SELECT c.topic, {_KEY.format('c.key')} AS ck, k.* EXCLUDE (topic) FROM c LEFT JOIN k ON k.topic = c.topic AND k.k = {_KEY.format('c.key')}) SELECT topic, CASE WHEN ck IS NULL THEN 'no key' WHEN k IS NULL THEN 'missing' WHEN coalesce(retracted,false) THEN 'retracted' WHEN verification_status <> 'verified' THEN 'not verified' ELSE 'verified' END AS state, count(*) AS claims FROM j GROUP BY 1, 2",
     "e4_uncited": f"WITH {C_SQL}, {E_SQL}, u AS (SELECT DISTINCT topic, {_KEY.format('key')} AS k FROM c), k AS (SELECT *, {_KEY.format('citation_key')} AS k FROM e) SELECT topic, gap, CAST(added_round AS INTEGER) AS round, count(*) AS uncited FROM k WHERE k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM u WHERE u.topic = k.topic AND u.k = k.k) GROUP BY ALL",
     "k9_keep_uncited": f"WITH {C_SQL}, {E_SQL} SELECT entry_id, topic, keep_uncited OR NOT EXISTS (SELECT 1 FROM c WHERE c.topic = e.topic AND c.key = e.citation_key) AS keep_uncited FROM e",
     "f2_citations_per_gap": f"WITH {C_SQL}, {E_SQL} SELECT e.topic, e.gap, count(DISTINCT claim_id) AS claims, count(DISTINCT entry_id) AS entries FROM c JOIN e ON e.topic = c.topic AND e.citation_key = c.key GROUP BY ALL",
     "e29_brief": f"WITH {C_SQL}, k AS (SELECT topic, {_KEY.format('key')} AS k, claim_id, round FROM c) SELECT topic, k, arg_min(claim_id, struct_pack(r := round, c := claim_id)) AS claim_id, CAST(min(round) AS INTEGER) AS round FROM k WHERE k IS NOT NULL GROUP BY 1, 2",
-    "f18_verdict_merge": f"WITH {C_SQL}, k AS (SELECT topic, {_KEY.format('key')} AS k, verdict FROM c) SELECT topic, k, count(*) AS claims, CASE WHEN bool_or(coalesce(verdict = 'suspect', false)) THEN 'suspect' WHEN bool_and(coalesce(verdict = 'faithful', false)) THEN 'faithful' ELSE 'needs_review' END AS verdict FROM k WHERE k IS NOT NULL GROUP BY 1, 2",
-    "f17_verdict_counts": f"WITH {C_SQL} SELECT topic, verdict, risk, count(*) AS claims FROM c GROUP BY ALL",
-    "g10_audit_sample": f"WITH {C_SQL} SELECT topic, claim_id, CAST(row_number() OVER (PARTITION BY topic ORDER BY CASE WHEN risk = 'high' THEN 0 ELSE 1 END, coalesce(key,''), substr(sentence,1,40) NULLS FIRST, claim_id) AS INTEGER) AS rank FROM c WHERE verdict = 'faithful' QUALIFY rank <= 8",
+    "verdict_merge": f"WITH {C_SQL}, k AS (SELECT topic, {_KEY.format('key')} AS k, verdict FROM c) SELECT topic, k, count(*) AS claims, CASE WHEN bool_or(coalesce(verdict = 'suspect', false)) THEN 'suspect' WHEN bool_and(coalesce(verdict = 'faithful', false)) THEN 'faithful' ELSE 'needs_review' END AS verdict FROM k WHERE k IS NOT NULL GROUP BY 1, 2",
+    "verdict_counts": f"WITH {C_SQL} SELECT topic, verdict, risk, count(*) AS claims FROM c GROUP BY ALL",
     "j30_claim_ids": f"WITH {C_SQL} SELECT claim_id, 'c' || substr(sha1(coalesce(key,'') || '|' || coalesce(sentence,'')), 1, 8) AS derived_id, substr(sha1(trim(coalesce(nullif(atomic_claim,''), sentence, ''))), 1, 10) AS claim_hash FROM c",
     "e17_most_shared_terms": f"WITH {C_SQL}, {E_SQL}, a AS (SELECT claim_id AS lid, topic, unnest({_TERMS.format(x='sentence')}) AS t FROM c), b AS (SELECT entry_id AS rid, topic, unnest({_TERMS.format(x='title')}) AS t FROM e), n AS (SELECT lid, rid, count(*) AS shared FROM a JOIN b USING (topic, t) GROUP BY 1, 2 HAVING count(*) >= 3) SELECT lid, rid, shared FROM n QUALIFY row_number() OVER (PARTITION BY lid ORDER BY shared DESC, rid) = 1",
 }

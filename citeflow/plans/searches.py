@@ -28,7 +28,7 @@ def _order():
 _O = "list_position(['crossref','semantic','pubmed','biorxiv','clinicaltrials'], source)"
 
 
-def a29_hits_by_source(s, d):
+def hits_by_source(s, d):
     return _hits(s, d).groupBy("source").agg(F.count("*").alias("hits"), F.countDistinct("query_id").alias("queries"), F.count(doi_key(F.col("doi"))).alias("with_doi"), F.count_if(F.col("doi").startswith("nct:")).alias("trial_keys"))
 
 
@@ -49,20 +49,32 @@ def g1_rank_fusion(s, d):
     return f.select("query_id", "doi", F.round("score", 9).alias("score"), "sources")
 
 
-def h5_most_cited(s, d):
+def hits_most_cited(s, d):
     """The ten most cited DOIs of each query."""
     m = ranking.merged_hits(_hits(s, d), "query_id", F.lower("doi"), _order())
     return ranking.top(m, ["query_id"], [F.coalesce("cited_by_count", F.lit(0)).desc(), F.col("doi")], 10).select("query_id", "doi", F.coalesce("cited_by_count", F.lit(0)).alias("cited"), "rank")
 
 
-def e10_snowball(s, d):
-    """One hop over edges from each query's first hit to its others; seeds are
-    the entries of each topic."""
+def _edges(s, d):
+    """Edges from each query's first hit to its others."""
     h = _hits(s, d).select("query_id", doi_key(F.col("doi")).alias("k"), "rank0", "hit_id").where("k IS NOT NULL")
     head = h.groupBy("query_id").agg(F.min_by("k", F.struct("rank0", "hit_id")).alias("citing"))
     edges = h.join(head, "query_id").where("k <> citing").select("citing", F.col("k").alias("cited")).distinct()
-    seeds = _entries(s, d).select(F.col("topic").alias("group"), doi_key(F.col("doi")).alias("id")).where("id IS NOT NULL").distinct()
-    return ranking.snowball(edges, seeds)
+    return edges
+
+
+def _seeds(s, d):
+    return _entries(s, d).select(F.col("topic").alias("group"), doi_key(F.col("doi")).alias("id")).where("id IS NOT NULL").distinct()
+
+
+def e10_snowball(s, d):
+    """One hop over edges; seeds are the entries of each topic."""
+    return ranking.snowball(_edges(s, d), _seeds(s, d))
+
+
+def e10_overlapping(s, d):
+    """The same, candidates that two seeds and more lead to."""
+    return ranking.snowball(_edges(s, d), _seeds(s, d), 2)
 
 
 def g5_admission(s, d):
@@ -89,7 +101,7 @@ def e28_title_suggestions(s, d):
     return linking.suggestions(q, c, 3, 0.4).select("qid", "cid", F.round("similarity", 6).alias("similarity"), "rank", "match")
 
 
-def f15_query_overlap(s, d):
+def query_overlap(s, d):
     """DOIs found by several queries."""
     h = _hits(s, d).select(doi_key(F.col("doi")).alias("k"), "query_id").where("k IS NOT NULL")
     return h.groupBy("k").agg(F.countDistinct("query_id").alias("queries")).where("queries >= 2")
@@ -106,24 +118,28 @@ def years_by_source(s, d):
     return _hits(s, d).groupBy("source", y.alias("year")).agg(F.count("*").alias("hits"), F.sum(F.coalesce("cited_by_count", F.lit(0))).cast("long").alias("cited"))
 
 
-NAMES = [a29_hits_by_source, e8_merged_hits, e9_new_hits, g1_rank_fusion, h5_most_cited, e10_snowball, g5_admission, e19_recall, e28_title_suggestions, f15_query_overlap, d14_hits_without_usable_doi, years_by_source]
+NAMES = [hits_by_source, e8_merged_hits, e9_new_hits, g1_rank_fusion, hits_most_cited, e10_snowball, e10_overlapping, g5_admission, e19_recall, e28_title_suggestions, query_overlap, d14_hits_without_usable_doi, years_by_source]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _HK = f"hk AS (SELECT *, {doi_sql('doi')} AS k FROM h)"
 _EK = f"ek AS (SELECT DISTINCT {doi_sql('doi')} AS k FROM e WHERE {doi_sql('doi')} IS NOT NULL)"
 _MERGED = f"""r AS (SELECT *, lower(doi) AS dk, row_number() OVER (PARTITION BY query_id, lower(doi) ORDER BY coalesce(cited_by_count,0) DESC, {_O}, rank0, hit_id) AS b,
   min(struct_pack(s := {_O}, r := rank0, i := hit_id)) OVER (PARTITION BY query_id, lower(doi)) AS f, count(*) OVER (PARTITION BY query_id, lower(doi)) AS copies FROM h WHERE coalesce(doi,'') <> ''), m AS (SELECT * FROM r WHERE b = 1)"""
+_SNOW = f"""{H_SQL}, {_HK}, {E_SQL}, s AS (SELECT DISTINCT topic AS "group", {doi_sql('doi')} AS id FROM e WHERE {doi_sql('doi')} IS NOT NULL),
+hd AS (SELECT query_id, arg_min(k, struct_pack(r := rank0, i := hit_id)) AS citing FROM hk WHERE k IS NOT NULL GROUP BY 1),
+ed AS (SELECT DISTINCT citing, k AS cited FROM hk JOIN hd USING (query_id) WHERE k IS NOT NULL AND k <> citing),
+f AS (SELECT s."group", cited AS candidate, 'ancestor' AS side, id FROM ed JOIN s ON s.id = citing UNION SELECT s."group", citing, 'descendant', id FROM ed JOIN s ON s.id = cited),
+n AS (SELECT "group", candidate, side, count(*) AS overlap FROM f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s."group" = f."group" AND s.id = f.candidate) GROUP BY ALL)"""
 SQL = {
-    "a29_hits_by_source": f"WITH {H_SQL}, {_HK} SELECT source, count(*) AS hits, count(DISTINCT query_id) AS queries, count(k) AS with_doi, count(*) FILTER (starts_with(doi,'nct:')) AS trial_keys FROM hk GROUP BY 1",
+    "hits_by_source": f"WITH {H_SQL}, {_HK} SELECT source, count(*) AS hits, count(DISTINCT query_id) AS queries, count(k) AS with_doi, count(*) FILTER (starts_with(doi,'nct:')) AS trial_keys FROM hk GROUP BY 1",
     "e8_merged_hits": f"WITH {H_SQL}, {_MERGED} SELECT query_id, dk AS doi, hit_id, source, cited_by_count, copies, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f) AS INTEGER) AS place FROM m",
     "e9_new_hits": f"WITH {H_SQL}, {_HK}, {E_SQL}, {_EK} SELECT k, count(*) AS hits, count(DISTINCT source) AS sources FROM hk WHERE k IS NOT NULL AND k NOT IN (SELECT k FROM ek) GROUP BY 1",
     "g1_rank_fusion": f"WITH {H_SQL}, f AS (SELECT query_id, source, lower(doi) AS doi, min(struct_pack(r := rank0, i := hit_id)) AS p FROM h WHERE source IN ('crossref','semantic') AND coalesce(doi,'') <> '' GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY p) - 1 AS r FROM f) SELECT query_id, doi, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, count(*) AS sources FROM n GROUP BY 1, 2",
-    "h5_most_cited": f"WITH {H_SQL}, {_MERGED} SELECT query_id, dk AS doi, coalesce(cited_by_count,0) AS cited, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(cited_by_count,0) DESC, dk) AS INTEGER) AS rank FROM m QUALIFY rank <= 10",
-    "e10_snowball": f"""WITH {H_SQL}, {_HK}, {E_SQL}, s AS (SELECT DISTINCT topic AS "group", {doi_sql('doi')} AS id FROM e WHERE {doi_sql('doi')} IS NOT NULL),
-hd AS (SELECT query_id, arg_min(k, struct_pack(r := rank0, i := hit_id)) AS citing FROM hk WHERE k IS NOT NULL GROUP BY 1),
-ed AS (SELECT DISTINCT citing, k AS cited FROM hk JOIN hd USING (query_id) WHERE k IS NOT NULL AND k <> citing),
-f AS (SELECT s."group", cited AS candidate, 'ancestor' AS side, id FROM ed JOIN s ON s.id = citing UNION SELECT s."group", citing, 'descendant', id FROM ed JOIN s ON s.id = cited)
-SELECT "group", candidate, side, count(*) AS overlap FROM f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s."group" = f."group" AND s.id = f.candidate) GROUP BY ALL""",
+    "hits_most_cited": f"WITH {H_SQL}, {_MERGED} SELECT query_id, dk AS doi, coalesce(cited_by_count,0) AS cited, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(cited_by_count,0) DESC, dk) AS INTEGER) AS rank FROM m QUALIFY rank <= 10",
+    "e10_snowball": f"""WITH {_SNOW}
+SELECT * FROM n""",
+    "e10_overlapping": f"""WITH {_SNOW}, r AS (SELECT "group", count(*) AS seeds FROM s WHERE EXISTS (SELECT 1 FROM ed WHERE ed.citing = s.id OR ed.cited = s.id) GROUP BY 1)
+SELECT n.* FROM n LEFT JOIN r ON r."group" = n."group" WHERE overlap >= 2 OR seeds <= 2""",
     "g5_admission": f"""WITH {H_SQL}, {_HK}, {E_SQL}, {_EK}, m AS (SELECT * FROM hk WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY coalesce(cited_by_count,0) DESC, {_O}, rank0, hit_id) = 1),
 o AS (SELECT query_id, k, (ek.k IS NULL AND coalesce(year,0) >= 2010) AS ok, row_number() OVER w AS pos FROM m LEFT JOIN ek USING (k) WINDOW w AS (PARTITION BY query_id ORDER BY coalesce(cited_by_count,0) DESC, m.k)),
 n AS (SELECT *, sum(ok::INT) OVER (PARTITION BY query_id ORDER BY pos) AS n FROM o), u AS (SELECT *, min(CASE WHEN ok AND n = {CAP} THEN pos END) OVER (PARTITION BY query_id) AS f FROM n)
@@ -132,7 +148,7 @@ SELECT query_id, count(*) FILTER (ok AND n <= {CAP}) AS admitted, count(*) FILTE
     "e28_title_suggestions": f"""WITH {H_SQL}, {E_SQL}, q AS (SELECT hit_id AS qid, {_WORDS.format('title')} AS qw FROM h WHERE hit_id % 20 = 0), c AS (SELECT entry_id AS cid, {_WORDS.format('title')} AS cw FROM e),
 p AS (SELECT qid, cid, {_JAC.format(a='qw', b='cw')} AS s FROM q, c WHERE len(qw) > 0 AND len(cw) > 0), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, cid) AS rank FROM p WHERE s >= 0.4)
 SELECT qid, cid, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank, s >= 0.6 AS match FROM k WHERE rank <= 3""",
-    "f15_query_overlap": f"WITH {H_SQL}, {_HK} SELECT k, count(DISTINCT query_id) AS queries FROM hk WHERE k IS NOT NULL GROUP BY 1 HAVING count(DISTINCT query_id) >= 2",
+    "query_overlap": f"WITH {H_SQL}, {_HK} SELECT k, count(DISTINCT query_id) AS queries FROM hk WHERE k IS NOT NULL GROUP BY 1 HAVING count(DISTINCT query_id) >= 2",
     "d14_hits_without_usable_doi": f"WITH {H_SQL}, {_HK}, w AS (SELECT source, CASE WHEN trim(coalesce(doi,'')) = '' THEN 'blank' WHEN starts_with(lower(doi),'nct:') THEN 'trial' WHEN k IS NULL THEN 'malformed' END AS why FROM hk) SELECT source, why, count(*) AS hits FROM w WHERE why IS NOT NULL GROUP BY ALL",
     "years_by_source": f"WITH {H_SQL} SELECT source, CASE WHEN coalesce(year,0) > 0 THEN CAST(year AS INTEGER) END AS year, count(*) AS hits, CAST(sum(coalesce(cited_by_count,0)) AS BIGINT) AS cited FROM h GROUP BY 1, 2",
 }
