@@ -10,13 +10,17 @@ declared match semantics of SQL's MATCH clause:
 - ``full``: all columns null is satisfied, some null is an orphan.
 
 ``required`` columns are part of every mask: a null there means that there is
-no reference at all. The joins are equi-joins on aggregated targets (one row for
+no reference at all. So with required columns no mask is without a column, and a
+reference whose other columns are all null is compared on the required ones
+(partial) or an orphan (full). The joins are equi-joins on aggregated targets (one row for
 each distinct key), so a hot key is one row on the target side and AQE splits
 it on the reference side."""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,18 +64,17 @@ def orphans(
     for k in required:
         held = held.where(F.col(f"__k{slot[k]}").isNotNull())
     out = None
-    for mask in product((True, False), repeat=len(loose)):
+    # Only partial match looks at each mask by itself: simple asks for whole references, and under full a null column equals no target's.
+    for mask in product((True, False), repeat=len(loose)) if match == "partial" else [(True,) * len(loose)]:
         live = [k for k in keys if k in required or mask[loose.index(k)]]
-        rows = held
-        for k, on in zip(loose, mask):
-            rows = rows.where(F.col(f"__k{slot[k]}").isNotNull() if on else F.col(f"__k{slot[k]}").isNull())
-        if not all(mask):
-            if match == "simple" or not any(mask):
-                continue
-            if match == "full":
-                part = rows.select("__ref", F.lit("missing").alias("why"))
-                out = part if out is None else out.unionByName(part)
-                continue
+        if not live:
+            continue
+        if match == "full":
+            rows = held.where(reduce(or_, [F.col(f"__k{slot[k]}").isNotNull() for k in keys]))
+        else:
+            rows = held
+            for k, on in zip(loose, mask):
+                rows = rows.where(F.col(f"__k{slot[k]}").isNotNull() if on else F.col(f"__k{slot[k]}").isNull())
         # The least demanding target of each partial key: one that is not gone, the earliest.
         best = right.groupBy(*[f"__t{slot[k]}" for k in live]).agg(
             F.min_by(F.struct("__gone", "__first"), F.struct("__gone", F.coalesce("__first", F.lit("0001-01-01").cast("timestamp")))).alias("__best")

@@ -45,14 +45,14 @@ def _references(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for refs, found in _references(spark, d):
-        part = orphans(refs, found, ["topic", "key"], at="at", match="partial", required=["key"])
+        part = orphans(refs, found, ["topic", "key"], at="at", match="full", required=["key"])
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan references. Null and blank keys are no references; a null topic
-    is compared on the key alone (partial match)."""
+    """Orphan references. Null and blank keys are no references; a key without a
+    topic lies in no topic, so it has no target (full match)."""
     return _orphans(spark, d).select("ref_table", "topic", "ref_id", "ref_key").distinct()
 
 

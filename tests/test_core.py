@@ -118,6 +118,13 @@ class TestOrphans:
     def test_required(self, spark):
         assert self.run(spark, "partial", ["key"]) == {2: "missing", 5: "missing", 6: "deleted", 7: "later"}
 
+    def test_required_alone(self, spark):
+        """A reference without a topic whose key is required is still one."""
+        refs = spark.createDataFrame([(1, None, "a"), (2, None, "nowhere"), (3, None, None)], "id long, topic string, key string")
+        found = targets(spark.createDataFrame([("t", "a")], "topic string, key string"), ["topic", "key"])
+        got = {m: {r.id: r.why for r in orphans(refs, found, ["topic", "key"], match=m, required=["key"]).collect()} for m in ("simple", "partial", "full")}
+        assert got == {"simple": {}, "partial": {2: "missing"}, "full": {1: "missing", 2: "missing"}}
+
     def test_unknown_semantics(self, spark):
         with pytest.raises(ValueError):
             self.run(spark, "none")

@@ -70,3 +70,16 @@ def test_core_queries_remain_without_a_library_of_the_subpackage(monkeypatch):
     with pytest.warns(UserWarning, match="left out"):
         names = set(__spark_entry__.queries())
     assert names == {n for n, _ in CORE}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_references_without_a_topic_match_sql(spark, tmp_path):
+    con = duckdb.connect()
+    for t in ("entries", "gaps", "claims"):
+        con.execute(f"COPY (SELECT * REPLACE (CASE WHEN row_number() OVER () % 3 > 0 THEN topic END AS topic) FROM '{DATA}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    for name in ("p5_found", "p5_by_round"):
+        df = references.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({references.SQL[name]})").fetchall()
+        assert Counter(map(tuple, df.collect())) == Counter(want)
+        assert name != "p5_found" or sum(r[1] is None for r in want) > 10
