@@ -11,7 +11,8 @@ holds one of them, or B has a second word in it; if no record has more than c
 bands of several words, A and B have all but x+c of A's bands in common. Under
 one order of all band values, rarest first, the first x+c+l bands of A and of B
 therefore both hold the l first common ones, for each l up to what A and B must
-share at least.
+share at least. There are so many bands (they cost nothing, as sketches are
+sparse) that c is 0 but for very long records.
 
 The join goes by levels. At level 1 records meet by one band value of their
 first x+c+1; a value that more than FEW records have is hot and is not joined
@@ -22,6 +23,10 @@ that is joined is larger than FEW and no pair is lost. Records whose guaranteed
 overlap ends at a level, and all at the last one, are compared there within their
 hot group, cut into blocks that are spread over tasks.
 
+Disk and the driver hold one level at a time: a level's pairs are checkpointed
+before the next begins, rows with their band values are derived anew where they
+are needed, and what a level leaves behind is released.
+
 Joined pairs must pass the folded sketch's Hamming distance and then the exact
 similarity. Records of equal word sets are one representative before the join,
 so a group of copies of any size costs one row; copies come back as links to it."""
@@ -37,11 +42,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeflow.graph import components
-from citeflow.runtime import cut
+from citeflow.runtime import cut, release
 
-#: Least binary logarithm of the number of bands; sketches of longer records have
-#: more, so that few records have two words in a band.
-BANDS = 20
+#: Least binary logarithm of the number of bands; with very long records there
+#: are more, so that few records have two words in a band.
+BANDS = 40
 #: Records that may meet by one (composite) band value; more make it hot.
 FEW = 32
 #: Band values that are combined at most.
@@ -82,45 +87,44 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _sketched(words: np.ndarray, starts: np.ndarray, zones: np.ndarray, m: np.ndarray, freq: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each record (its words begin at ``starts``): bands of several words,
-    non-zero bands, the two halves of the folded sketch, and the first ``most``
-    band values in the common order as (values, how many). Bands of several
-    words come last in the order, as their value is not that of a word."""
+def _sketched(words: np.ndarray, starts: np.ndarray, m: int, freq: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each record (its words begin at ``starts``): non-zero bands, the two
+    halves of the folded sketch, and the first ``most`` band values in the common
+    order as (values, how many). Bands of several words come last in the order,
+    as their value is not that of a word."""
     n, owner = len(starts), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
-    band, bit = words % m[owner], np.uint64(1) << ((words >> np.uint64(40)) % np.uint64(63))
+    band, bit = words & np.uint64(m - 1), np.uint64(1) << ((words >> np.uint64(40)) % np.uint64(63))
     by_band = np.lexsort((band, owner))
     heads = np.flatnonzero(np.append(True, (np.diff(owner[by_band]) != 0) | (np.diff(band[by_band]) != 0)))
     value, size = np.bitwise_xor.reduceat(bit[by_band], heads), np.diff(np.append(heads, len(words)))
     owner, band, first = owner[by_band][heads], band[by_band][heads], by_band[heads]
-    many = size > 1
-    rank = np.where(many, 1 << 40, freq[first])
+    rank = np.where(size > 1, 1 << 40, freq[first])
     half = band % np.uint64(2)
     s = []
     for h in (0, 1):
         fold = np.zeros(n, dtype=np.uint64)
         np.bitwise_xor.at(fold, owner, np.where(half == h, value, np.uint64(0)))
         s.append(fold.view(np.int64))
-    key = _mixed(_mixed(band * np.uint64(64) + zones[owner].astype(np.uint64)) ^ value)
+    key = _mixed(_mixed(band) ^ value)
     held = np.flatnonzero(value != 0)
     held = held[np.lexsort((key[held], rank[held], owner[held]))]
     counts = np.bincount(owner[held], minlength=n)
     place = np.arange(len(held)) - np.repeat(np.cumsum(counts) - counts, counts)
     used = held[place < most[owner[held]]]
-    return np.bincount(owner, weights=many, minlength=n).astype(np.int32), counts.astype(np.int32), *s, key[used].view(np.int64), np.minimum(counts, most)
+    return counts.astype(np.int32), *s, key[used].view(np.int64), np.minimum(counts, most)
 
 
-def sketches(reps: DataFrame, threshold: float, extra: int | None = None) -> DataFrame:
-    """(rid, n, zone, native, spare, sure, keys, s0, s1): each record in its own
-    size band (native) and in the next, where it meets the longer ones: how many
-    of its band values a similar record may lack (x+c), how many both have for
-    certain, the first band values in the common order, and the sketch folded to
-    128 bits. extra: room for c, twice LEVELS by default."""
-    extra = 2 * LEVELS if extra is None else extra
+def sketches(reps: DataFrame, threshold: float) -> tuple[DataFrame, int]:
+    """(rid, n, spare, sure, keys, s0, s1) of each record: how many of its band
+    values a similar record may lack (x+c), how many both have for certain, the
+    first band values in the common order, and the sketch folded to 128 bits; and
+    c, 0 if no record has two words in a band. Not checkpointed: the sketches are
+    larger than the words and cheap to derive."""
     longest = reps.agg(F.max("n")).head()[0] or 1
-    ends = np.array(size_bands(threshold, longest))
-    logs = [max(BANDS, math.ceil(math.log2(64 * e * e))) for e in ends.tolist()]
-    bands = np.array([1 << x for x in [*logs, logs[-1] + 1]], dtype=np.uint64)
+    m = 1 << min(63, max(BANDS, math.ceil(math.log2(64 * longest * longest))))
+    # Words beyond the first of their band are at least as many as bands of several words.
+    bands = F.array_distinct(F.transform("toks", lambda w: w.bitwiseAND(F.lit(m - 1))))
+    several = reps.agg(F.max(F.col("n") - F.size(bands))).head()[0] or 0
     cells = reps.select(F.explode("toks").alias("w")).groupBy(F.pmod("w", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("freq")).toArrow()
     freq = np.zeros(CELLS, dtype=np.int64)
     freq[cells["cell"].to_numpy()] = cells["freq"].to_numpy()
@@ -128,21 +132,18 @@ def sketches(reps: DataFrame, threshold: float, extra: int | None = None) -> Dat
     shared = sc.broadcast(np.minimum(freq, (1 << 31) - 1).astype(np.int32))
     kind = reps.schema["rid"].dataType.simpleString()
 
-    def part(rid: pa.Array, toks: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    def part(rid: pa.Array, toks: pa.ListArray) -> pa.RecordBatch:
         lengths = np.diff(toks.offsets.to_numpy())
         words = toks.flatten().to_numpy().view(np.uint64)
         starts = np.cumsum(lengths) - lengths
         weight = shared.value[(words.view(np.int64) % CELLS)]
-        own = np.searchsorted(ends, lengths)
-        lack = lengths - np.ceil(threshold * lengths - 1e-9).astype(np.int64)
-        for native in (True, False):
-            zone = own + (not native)
-            many, held, s0, s1, keys, sizes = _sketched(words, starts, zone, bands[zone], weight, lack + LEVELS + extra)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(keys))
-            yield pa.RecordBatch.from_arrays(
-                [rid, pa.array(lengths.astype(np.int32)), pa.array(zone.astype(np.int32)), pa.array([native] * len(rid)), pa.array(lack.astype(np.int32)), pa.array(many), pa.array(held), lists, pa.array(s0), pa.array(s1)],
-                ["rid", "n", "zone", "native", "lack", "many", "held", "keys", "s0", "s1"],
-            )
+        spare = lengths - np.ceil(threshold * lengths - 1e-9).astype(np.int64) + several
+        held, s0, s1, keys, sizes = _sketched(words, starts, m, weight, spare + LEVELS)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(keys))
+        return pa.RecordBatch.from_arrays(
+            [rid, pa.array(lengths.astype(np.int32)), pa.array(spare.astype(np.int32)), pa.array((held - spare).astype(np.int32)), lists, pa.array(s0), pa.array(s1)],
+            ["rid", "n", "spare", "sure", "keys", "s0", "s1"],
+        )
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -152,29 +153,22 @@ def sketches(reps: DataFrame, threshold: float, extra: int | None = None) -> Dat
             while lo < len(rid):  # as many records at a time as have about WORDS words
                 hi = max(lo + 1, int(np.searchsorted(ends_at, ends_at[lo] + WORDS, side="right")) - 1)
                 rows = batch.slice(lo, hi - lo)
-                yield from part(rows.column(0), pa.array(rows.column(1).to_pylist(), toks.type) if rows.column(1).null_count else pa.concat_arrays([rows.column(1)]))
+                yield part(rows.column(0), pa.array(rows.column(1).to_pylist(), toks.type) if rows.column(1).null_count else pa.concat_arrays([rows.column(1)]))
                 lo = hi
 
-    schema = f"rid {kind}, n int, zone int, native boolean, lack int, many int, held int, keys array<bigint>, s0 bigint, s1 bigint"
-    made = cut(reps.select("rid", "toks").mapInArrow(run, schema))
-    most = {r[0]: r[1] for r in made.groupBy("zone").agg(F.max("many")).collect()}  # a row for each size band
-    if max(most.values(), default=0) > extra:
-        return sketches(reps, threshold, max(most.values()))
-    several = F.element_at(F.array(*[F.lit(most.get(i, 0)) for i in range(len(bands))]), F.col("zone") + 1)
-    made = made.withColumn("spare", F.col("lack") + several)
-    return made.select("rid", "n", "zone", "native", "spare", (F.col("held") - F.col("spare")).alias("sure"), "keys", "s0", "s1")
+    return reps.select("rid", "toks").mapInArrow(run, f"rid {kind}, n int, spare int, sure int, keys array<bigint>, s0 bigint, s1 bigint"), several
 
 
-_SIDE = ("rid", "n", "native", "s0", "s1")
+_SIDE = ("rid", "n", "s0", "s1")
 
 
 def _near(threshold: float) -> Column:
-    """What a pair (a, b) of one size band must pass before it is compared: one
-    side at home in the band, sizes and sketches near enough."""
+    """What a pair (a, b) must pass before it is compared: sizes and sketches
+    near enough."""
     total = F.col("n_a") + F.col("n_b")
     apart = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
     sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    return (F.col("rid_a") < F.col("rid_b")) & (F.col("native_a") | F.col("native_b")) & sizes & (apart <= (1 - threshold) / (1 + threshold) * total + 1e-9)
+    return (F.col("rid_a") < F.col("rid_b")) & sizes & (apart <= (1 - threshold) / (1 + threshold) * total + 1e-9)
 
 
 def _blocked(rows: DataFrame, ends: Column, threshold: float) -> DataFrame:
@@ -188,39 +182,45 @@ def _blocked(rows: DataFrame, ends: Column, threshold: float) -> DataFrame:
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     a, b = (rows.select("path", "low", "high", *[F.col(c).alias(f"{c}_{x}") for c in (*_SIDE, "block", "ends")]) for x in "ab")
     once = (F.col("block_a") != F.col("block_b")) | (F.col("low") == F.col("high"))
-    return a.hint("merge").join(b.hint("merge"), ["path", "low", "high"]).where((F.col("ends_a") | F.col("ends_b")) & once & _near(threshold)).select("rid_a", "rid_b")
+    return a.hint("merge").join(b.hint("merge"), ["path", "low", "high"]).where((F.col("ends_a") | F.col("ends_b")) & once & _near(threshold)).select("rid_a", "rid_b").distinct()
 
 
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """(rid_a, rid_b), rid_a < rid_b, of pairs to compare, some of them twice:
     all that are similar, and others."""
-    recs = sketches(reps, threshold)
-    loose = recs.where("sure <= 0").limit(1).count() > 0  # no band value for certain: these meet their whole size band
-    first = 0 if loose else 1
-    keep = [*_SIDE, "zone", "spare", "sure"]
-    if loose:
-        rows = recs.select(F.xxhash64("zone").alias("path"), F.lit(-1).alias("at"), *keep)
-    else:
-        rows = recs.select(F.posexplode(F.slice("keys", F.lit(1), F.col("spare") + 1)).alias("at", "path"), *keep)
+    recs, several = sketches(reps, threshold)
+    loose = several > 0 and recs.where("sure <= 0").limit(1).count() > 0  # no band value for certain: these meet all of about their size
+    fixed = ["rid", "n", "spare", "sure", "keys", "s0", "s1"]
+    nothing = F.struct(F.lit(0).cast("long").alias("path"), F.lit(-1).alias("at"), F.lit(0).cast("long").alias("freq"))
+    open_ = recs.select(*fixed, F.array(nothing).alias("hot"))
     found: list[DataFrame] = []
-    for level in range(first, LEVELS + 1):
-        hot = rows.groupBy("path").agg(F.count("*").alias("freq")).where(F.col("freq") > FEW)
-        now = cut(rows.join(hot, "path", "left"))
-        a, b = (now.where("freq IS NULL").select("path", *[F.col(c).alias(f"{c}_{x}") for c in _SIDE]) for x in "ab")
+    for level in range(0 if loose else 1, LEVELS + 1):
+        rows = open_.select(*fixed, F.explode("hot").alias("h"))
+        if level == 0:
+            size = sum(((F.col("n") > e).cast("int") for e in size_bands(threshold, reps.agg(F.max("n")).head()[0] or 1)), F.lit(0))
+            rows = rows.select(*_SIDE, F.lit(-1).alias("at"), F.explode(F.array(F.xxhash64(size), F.xxhash64(size + 1))).alias("path"))
+        else:
+            tail = F.slice("keys", F.col("h.at") + 2, F.greatest(F.lit(0), F.col("spare") + level - 1 - F.col("h.at")))
+            rows = rows.select(*_SIDE, F.col("h").alias("h"), F.posexplode(tail).alias("step", "value"))
+            rows = rows.select(*_SIDE, (F.col("h.at") + 1 + F.col("step")).alias("at"), F.xxhash64("h.path", "value").alias("path"))
+        many = cut(rows.groupBy("path").agg(F.count("*").alias("freq")).where(F.col("freq") > FEW))
+        few = rows.join(many, "path", "left_anti")
+        a, b = (few.select("path", *[F.col(c).alias(f"{c}_{x}") for c in _SIDE]) for x in "ab")
         # The sides are one table, divided by the same key; as large as each other, so none is broadcast.
-        found.append(a.hint("merge").join(b.hint("merge"), "path").where(_near(threshold)).select("rid_a", "rid_b"))
-        over = now.where("freq IS NOT NULL")
+        found.append(cut(a.hint("merge").join(b.hint("merge"), "path").where(_near(threshold)).select("rid_a", "rid_b").distinct()))
+        release(reps.sparkSession)
+        hot = rows.select("rid", "at", "path").join(many, "path").groupBy("rid").agg(F.collect_list(F.struct("path", "at", "freq")).alias("hot"))
+        open_ = cut(open_.select(*fixed).join(hot, "rid"))
         ends = F.lit(level == LEVELS) | (F.col("sure") <= level)
-        hot_rows, ending = over.agg(F.count("*"), F.count_if(ends)).head()
+        left, ending = open_.agg(F.count("*"), F.count_if(ends)).head()
         if ending:
-            found.append(_blocked(over, ends, threshold))
-        if hot_rows == 0:
+            over = open_.select(*_SIDE, F.explode("hot").alias("h"), ends.alias("ends")).select(*_SIDE, "ends", F.col("h.path").alias("path"), F.col("h.freq").alias("freq"))
+            found.append(cut(_blocked(over, F.col("ends"), threshold)))
+        del rows, many, few, a, b, hot
+        release(reps.sparkSession)
+        if left == 0:
             break
-        if level < LEVELS:
-            more = over.where(F.col("sure") > level).join(recs.select("rid", "zone", "keys"), ["rid", "zone"])
-            tail = F.slice("keys", F.col("at") + 2, F.greatest(F.lit(0), F.col("spare") + level - F.col("at")))
-            more = more.select(F.posexplode(tail).alias("step", "value"), F.col("at").alias("before"), F.col("path").alias("way"), *keep)
-            rows = more.select(F.xxhash64("way", "value").alias("path"), (F.col("before") + 1 + F.col("step")).alias("at"), *keep)
+        open_ = open_.where(F.col("sure") > level)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -125,6 +125,17 @@ def test_candidates_grow_with_the_records(spark):
     assert per[1] <= max(1.5 * per[0], neardup.FEW * 8)
 
 
+def test_levels_are_done_one_by_one(spark):
+    """What is left to run after the join are scans of its checkpointed pairs,
+    so that no stage of a level waits in the driver for those of all others."""
+    rows = [(i, [f"c{k}" for k in range(5)] + [f"w{i}", f"v{i % 9}"]) for i in range(90)]
+    reps, _ = representatives(spark.createDataFrame(rows, "id long, tokens array<string>"), "id", "tokens", 5)
+    got = candidates(reps, 0.65)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "Exchange" not in plan and "Join" not in plan
+    assert {(r.rid_a, r.rid_b) for r in got.collect()} >= {(a, b) for a, b in combinations(range(90), 2) if a % 9 == b % 9}
+
+
 def test_size_bands_hold_similar_sizes_together():
     for t in (0.5, 0.65, 0.8, 0.95):
         ends = size_bands(t, 500)
