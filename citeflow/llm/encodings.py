@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeflow.runtime import spread, table
+from citeflow.runtime import cut, spread, table
 
 #: Encodings of one byte a character that text is wrongly read in.
 SINGLE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "cp866", "koi8_r", "iso8859-15")
@@ -39,13 +39,15 @@ STEPS, STEP_BYTES, RARE_BYTES = 3, 0.5, 12
 #: Bytes for each distinct character outside the alphabet of all languages: it
 #: is in under ALPHABET of the documents of each.
 ESCAPE_BYTES, ALPHABET = 2, 0.03
-#: The dictionaries' fit: documents a language at most, bytes of a dictionary.
-#: The sample is bounded; everything else reads all rows.
-SAMPLE, DICTIONARY, LANGUAGES = 400, 32_768, 24
+#: Bytes of a dictionary, and least bytes of a phrase in it: zstd matches no less.
+DICTIONARY, PHRASE = 32_768, 4
+#: Characters of a text that are counted at a time.
+PIECE = 1 << 16
 CONTEXT = 24
 
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _CJK = re.compile(r"[ᄀ-ᇿ⺀-鿿가-힯豈-﫿＀-￯]")
+_CJK_RUNS = re.compile(f"{_CJK.pattern}{{2,}}")
 _RUNS = re.compile(r"[^\x00-\x7f]{2,}")
 _WIDE = re.compile(r"[^\x00-\x7f�]{2,}")
 _ANY = re.compile(r"[^\x00-\x7f�]+")
@@ -255,27 +257,76 @@ class Repairer:
 
 
 def dictionaries(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[dict[str, bytes], str, set[str]]:
-    """A zstd dictionary of each language, the alphabet and the scripts of all.
-
-    The dictionaries are fitted on at most SAMPLE documents of a language: those
-    of least hash in each of SAMPLE cells of hash space, without replacement or
-    control characters, of at most 8,000 characters. Languages are as labelled,
-    in lower case, the LANGUAGES most frequent. The alphabet and the scripts are
-    counted over all rows; other and missing labels are one language there."""
-    clean = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0) & (F.length(text) <= 8000) & ~F.col(text).rlike("[\\x{fffd}\\x{80}-\\x{9f}]"))
-    clean = clean.select(F.lower(F.trim(lang)).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    few = clean.groupBy("l", F.pmod("h", F.lit(SAMPLE)).alias("cell")).agg(F.min_by("t", "h").alias("t"), F.count("*").alias("n"))
-    rows = few.groupBy("l").agg(F.sum("n").alias("n"), F.collect_list("t").alias("texts")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
-    fitted, _, _ = fit({r["l"]: sorted(r["texts"]) for r in rows})
+    """A zstd dictionary of each language, the alphabet and the scripts of all,
+    each counted over all rows.
+
+    A dictionary holds the phrases that save most, by their counts in all texts
+    of its language that have no replacement or control characters and nothing
+    that undoes to letters of the alphabet. Languages are as labelled, in lower
+    case; for the alphabet, missing labels are one language."""
     label = F.lower(F.trim(lang))
-    named = docs.select(F.when(label.isin([r["l"] for r in rows]), label).otherwise("").alias("l"), F.col(text).alias("t")).where("t <> ''")
-    counted = spread(named).mapInPandas(_characters, "l string, c string, n long").groupBy("l", "c").agg(F.sum("n").alias("n"))
-    # Of bounded size: the characters of Unicode by LANGUAGES and one.
-    seen: dict[str, dict[str, int]] = {}
-    for r in counted.collect():
-        seen.setdefault(r["l"], {})[r["c"]] = r["n"]
-    alphabet = {c for of in seen.values() for c, n in of.items() if c and n >= max(2, ALPHABET * of[""])}
-    return fitted, "".join(sorted(alphabet)), {_script(c) for of in seen.values() for c in of if c}
+    rows = docs.select(F.coalesce(label, F.lit("")).alias("l"), F.col(text).alias("t")).where("t <> ''")
+    counted = cut(spread(rows).mapInPandas(_characters, "l string, c string, n long").groupBy("l", "c").agg(F.sum("n").alias("n")))
+    size = counted.where("c = ''").select("l", F.col("n").alias("docs"))
+    usual = F.max(F.col("n") >= F.greatest(F.lit(2), ALPHABET * F.col("docs")))
+    # No more rows than Unicode has characters, whatever the languages.
+    chars = counted.where("c <> ''").join(size, "l").groupBy("c").agg(usual.alias("usual")).collect()
+    alphabet = "".join(sorted(r["c"] for r in chars if r["usual"]))
+
+    def phrases(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = set(alphabet)
+        for batch in it:
+            count: dict[str, Counter] = {}
+            for l, t in zip(batch["l"], batch["t"]):
+                if _sound(t, known):
+                    _phrases(t, count.setdefault(l, Counter()))
+            out = [(l, p, n) for l, of in count.items() for p, n in of.items()]
+            yield pd.DataFrame(out, columns=["l", "p", "n"])
+
+    clean = docs.select(label.alias("l"), F.col(text).alias("t")).where((F.col("l").isNotNull()) & (F.length("t") > 0) & ~F.col("t").rlike("[\\x{fffd}\\x{80}-\\x{9f}]"))
+    summed = spread(clean).mapInPandas(phrases, "l string, p string, n long").groupBy("l", "p").agg(F.sum("n").alias("n")).where("n > 1")
+    # A dictionary holds no more phrases than these.
+    best = Window.partitionBy("l").orderBy((F.col("n") * (F.octet_length("p") - PHRASE + 1)).desc(), "p")
+    kept = summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= DICTIONARY // PHRASE)
+    made = kept.groupBy("l").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "p"))), lambda x: x["p"]).alias("phrases")).orderBy("l")
+    fitted = {r["l"]: _dictionary(r["phrases"]) for r in made.toLocalIterator()}
+    return fitted, alphabet, {_script(r["c"]) for r in chars}
+
+
+def _sound(text: str, alphabet: set[str]) -> bool:
+    """Whether no part of a text undoes to letters of the alphabet, so that a
+    dictionary will hold no garbled text."""
+    return text.isascii() or not any(set(new) <= alphabet for c in COMMON if c in _TABLES for _, _, new in undo(text, c)[1])
+
+
+def _phrases(text: str, count: Counter) -> None:
+    """Counts the phrases of a text: words and pairs of words with the blank
+    before them, and of scripts without blanks two to four characters in a row."""
+    for at in range(0, len(text), PIECE):
+        piece = text[at : at + PIECE]
+        words = [f" {w}" for w in piece.split() if len(w) <= 40]
+        count.update(w for w in words if len(w) >= PHRASE)
+        count.update(map("".join, zip(words, words[1:])))
+        for run in _CJK_RUNS.findall(piece):
+            for n in (2, 3, 4):
+                count.update(run[i : i + n] for i in range(len(run) - n + 1))
+
+
+def _dictionary(phrases: list[str]) -> bytes:
+    """The first phrases that fit, the best of them last, as near matches are
+    the cheapest. What a better phrase holds already is left out."""
+    out, held = [], ""
+    size = 0
+    for p in phrases:
+        raw = p.encode("utf-8", "surrogatepass")
+        if len(raw) < PHRASE or p in held:
+            continue
+        if size + len(raw) > DICTIONARY:
+            break
+        out.append(raw)
+        held += p + "\n"
+        size += len(raw)
+    return b"".join(reversed(out))
 
 
 def _characters(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,24 +359,19 @@ def _alphabet(samples: dict[str, list[str]]) -> set[str]:
 
 
 def fit(samples: dict[str, list[str]]) -> tuple[dict[str, bytes], str, set[str]]:
-    """Dictionaries, alphabet and scripts of sampled texts by language. Texts with parts
-    that undo to letters of the alphabet are left out, lest a dictionary hold
-    garbled text."""
+    """Dictionaries, alphabet and scripts of given texts by language, as
+    ``dictionaries`` makes them of a table."""
     alphabet = _alphabet(samples)
-
-    def clean(text: str) -> bool:
-        return text.isascii() or not any(set(new) <= alphabet for c in COMMON if c in _TABLES for _, _, new in undo(text, c)[1])
-
-    samples = {lang: [t for t in texts if clean(t)] for lang, texts in samples.items()}
     out = {}
     for lang, texts in samples.items():
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        try:
-            out[lang] = zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, raw)) // 4)), raw).as_bytes()
-        except zstandard.ZstdError:  # too little text for a fit: the text itself is the dictionary
-            out[lang] = b"".join(raw)[-DICTIONARY:]
-    scripts = {_script(c) for c in {c for texts in samples.values() for t in texts for c in t}}
-    return out, "".join(sorted(_alphabet(samples))), scripts
+        count: Counter = Counter()
+        for t in texts:
+            if _sound(t, alphabet):
+                _phrases(t, count)
+        ranked = sorted((p for p, n in count.items() if n > 1), key=lambda p: (-count[p] * (len(p.encode("utf-8", "surrogatepass")) - PHRASE + 1), p))
+        out[lang] = _dictionary(ranked)
+    scripts = {_script(c) for texts in samples.values() for t in texts for c in t}
+    return out, "".join(sorted(alphabet)), scripts
 
 
 def find(docs: DataFrame, key: str, text: str, fitted: tuple[dict[str, bytes], str, set[str]]) -> DataFrame:

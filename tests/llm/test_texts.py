@@ -342,3 +342,12 @@ class TestEncodings:
         fitted = encodings.dictionaries(docs)
         assert {"ARABIC", "HEBREW"} <= fitted[2]
         assert {r.doc_id: r.repaired for r in encodings.find(docs, "doc_id", "text", fitted).collect()} == {101: "Résumé : " + rare}
+
+    def test_dictionaries_hold_what_all_rows_say(self, spark):
+        """No language, long text or document beyond a number is left out."""
+        rows = [(i, f"l{i % 30}", f"word{i % 30} shared" + " tail" * (2000 if i % 30 == 7 else 1)) for i in range(120)]
+        rows += [(1000 + i, "many", f"common start {i}") for i in range(900)] + [(2000 + i, "many", "rareword twice") for i in range(2)]
+        by, _, _ = encodings.dictionaries(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+        assert set(by) == {f"l{i}" for i in range(30)} | {"many"}
+        assert all(f" word{i} shared".encode() in by[f"l{i}"] for i in range(30))
+        assert b" rareword twice" in by["many"] and b" common start" in by["many"]
