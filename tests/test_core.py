@@ -280,3 +280,14 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
     sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoints(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+def test_suggestions_keep_no_table_of_pairs(spark):
+    """Pairs are scored in the join in which they meet: two joins order the words
+    of either side, one lets titles meet; pairs come once without a distinct."""
+    titles = [(i, f"common shared usual plain a{i} b{i % 3}") for i in range(12)]
+    q, c = (spark.createDataFrame(titles, f"{x} long, title string") for x in ("qid", "cid"))
+    df = linking.suggestions(q, c, 12, 0.4)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+    rows = df.collect()
+    assert len(rows) == len({(r.qid, r.cid) for r in rows}) == 144 and all(r.rank == 1 for r in rows if r.qid == r.cid)
