@@ -136,6 +136,15 @@ def test_levels_are_done_one_by_one(spark):
     assert {(r.rid_a, r.rid_b) for r in got.collect()} >= {(a, b) for a, b in combinations(range(90), 2) if a % 9 == b % 9}
 
 
+def test_one_row_of_band_values_a_record(spark):
+    """Records are sketched once, not once for each size band they meet, and the
+    sketches are not another checkpointed copy of the table."""
+    reps, _ = representatives(spark.createDataFrame([(i, [f"w{i}_{k}" for k in range(9)]) for i in range(40)], "id long, tokens array<string>"), "id", "tokens", 5)
+    recs, several = neardup.sketches(reps, 0.65)
+    assert (recs.count(), several) == (40, 0)
+    assert "MapInArrow" in recs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_size_bands_hold_similar_sizes_together():
     for t in (0.5, 0.65, 0.8, 0.95):
         ends = size_bands(t, 500)
