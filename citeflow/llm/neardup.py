@@ -14,6 +14,13 @@ therefore both hold the l first common ones, for each l up to what A and B must
 share at least. There are so many bands (they cost nothing, as sketches are
 sparse) that c is 0 but for very long records.
 
+Of two similar records one is near: A and B together have at most (1-t)/(1+t)
+(|A| + |B|) words that the other lacks, so one of them has passed over at most
+h = (1-t)/(1+t) times its own words (and c) when it reaches the l-th common value.
+A value that no record holds within its first h+l is given up however many hold
+it: no similar pair has its first l common values there. Such are the words of
+everyday titles, which come last in the order.
+
 The join goes by levels. At level 1 records meet by one band value of their
 first x+c+1; a value that more than FEW records have is hot and is not joined
 but extended: at level l+1 its records meet by it and a further band value of
@@ -21,7 +28,9 @@ their first x+c+l+1, and so on. A pair that has a common value that is not hot
 has met; one whose common values are all hot meets at a later level. So no group
 that is joined is larger than FEW and no pair is lost. Records whose guaranteed
 overlap ends at a level, and all at the last one, are compared there within their
-hot group, cut into blocks that are spread over tasks.
+hot group, cut into blocks that are spread over tasks. The last level is the one
+whose hot groups have no more pairs than FEW for each record: extending them would
+cost more jobs than comparisons.
 
 Disk and the driver hold one level at a time: a level's pairs are checkpointed
 before the next begins, rows with their band values are derived anew where they
@@ -115,10 +124,11 @@ def _sketched(words: np.ndarray, starts: np.ndarray, m: int, freq: np.ndarray, m
 
 
 def sketches(reps: DataFrame, threshold: float) -> tuple[DataFrame, int]:
-    """(rid, n, spare, sure, keys, s0, s1) of each record: how many of its band
-    values a similar record may lack (x+c), how many both have for certain, the
-    first band values in the common order, and the sketch folded to 128 bits; and
-    c, 0 if no record has two words in a band. Not checkpointed: the sketches are
+    """(rid, n, spare, close, sure, keys, s0, s1) of each record: how many of its
+    band values a similar record may lack (x+c), how many a near record may have
+    passed over (h+c), how many both have for certain, the first band values in
+    the common order, and the sketch folded to 128 bits; and c, 0 if no record has
+    two words in a band. Not checkpointed: the sketches are
     larger than the words and cheap to derive."""
     longest = reps.agg(F.max("n")).head()[0] or 1
     m = 1 << min(63, max(BANDS, math.ceil(math.log2(64 * longest * longest))))
@@ -138,11 +148,12 @@ def sketches(reps: DataFrame, threshold: float) -> tuple[DataFrame, int]:
         starts = np.cumsum(lengths) - lengths
         weight = shared.value[(words.view(np.int64) % CELLS)]
         spare = lengths - np.ceil(threshold * lengths - 1e-9).astype(np.int64) + several
+        close = np.floor((1 - threshold) / (1 + threshold) * lengths + 1e-9).astype(np.int64) + several
         held, s0, s1, keys, sizes = _sketched(words, starts, m, weight, spare + LEVELS)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(keys))
         return pa.RecordBatch.from_arrays(
-            [rid, pa.array(lengths.astype(np.int32)), pa.array(spare.astype(np.int32)), pa.array((held - spare).astype(np.int32)), lists, pa.array(s0), pa.array(s1)],
-            ["rid", "n", "spare", "sure", "keys", "s0", "s1"],
+            [rid, pa.array(lengths.astype(np.int32)), pa.array(spare.astype(np.int32)), pa.array(close.astype(np.int32)), pa.array((held - spare).astype(np.int32)), lists, pa.array(s0), pa.array(s1)],
+            ["rid", "n", "spare", "close", "sure", "keys", "s0", "s1"],
         )
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +167,7 @@ def sketches(reps: DataFrame, threshold: float) -> tuple[DataFrame, int]:
                 yield part(rows.column(0), pa.array(rows.column(1).to_pylist(), toks.type) if rows.column(1).null_count else pa.concat_arrays([rows.column(1)]))
                 lo = hi
 
-    return reps.select("rid", "toks").mapInArrow(run, f"rid {kind}, n int, spare int, sure int, keys array<bigint>, s0 bigint, s1 bigint"), several
+    return reps.select("rid", "toks").mapInArrow(run, f"rid {kind}, n int, spare int, close int, sure int, keys array<bigint>, s0 bigint, s1 bigint"), several
 
 
 _SIDE = ("rid", "n", "s0", "s1")
@@ -171,12 +182,10 @@ def _near(threshold: float) -> Column:
     return (F.col("rid_a") < F.col("rid_b")) & sizes & (apart <= (1 - threshold) / (1 + threshold) * total + 1e-9)
 
 
-def _blocked(rows: DataFrame, ends: Column, threshold: float) -> DataFrame:
+def _blocked(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs within hot groups of which at least one record ends here: the group
     is cut into blocks of about FEW and each two blocks meet in a group of their
     own, so no task has the group alone."""
-    rows = rows.withColumn("ends", ends)
-    rows = rows.join(rows.where("ends").select("path").distinct(), "path", "left_semi")
     blocks = F.ceil(F.col("freq") / FEW).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
@@ -190,39 +199,51 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     all that are similar, and others."""
     recs, several = sketches(reps, threshold)
     loose = several > 0 and recs.where("sure <= 0").limit(1).count() > 0  # no band value for certain: these meet all of about their size
-    fixed = ["rid", "n", "spare", "sure", "keys", "s0", "s1"]
+    fixed = ["rid", "n", "spare", "close", "sure", "keys", "s0", "s1"]
     nothing = F.struct(F.lit(0).cast("long").alias("path"), F.lit(-1).alias("at"), F.lit(0).cast("long").alias("freq"))
+    total = reps.count()
     open_ = recs.select(*fixed, F.array(nothing).alias("hot"))
     found: list[DataFrame] = []
     for level in range(0 if loose else 1, LEVELS + 1):
         rows = open_.select(*fixed, F.explode("hot").alias("h"))
         if level == 0:
             size = sum(((F.col("n") > e).cast("int") for e in size_bands(threshold, reps.agg(F.max("n")).head()[0] or 1)), F.lit(0))
-            rows = rows.select(*_SIDE, F.lit(-1).alias("at"), F.explode(F.array(F.xxhash64(size), F.xxhash64(size + 1))).alias("path"))
+            rows = rows.select(*_SIDE, F.lit(-1).alias("at"), F.lit(True).alias("near"), F.explode(F.array(F.xxhash64(size), F.xxhash64(size + 1))).alias("path"))
         else:
             tail = F.slice("keys", F.col("h.at") + 2, F.greatest(F.lit(0), F.col("spare") + level - 1 - F.col("h.at")))
-            rows = rows.select(*_SIDE, F.col("h").alias("h"), F.posexplode(tail).alias("step", "value"))
-            rows = rows.select(*_SIDE, (F.col("h.at") + 1 + F.col("step")).alias("at"), F.xxhash64("h.path", "value").alias("path"))
-        many = cut(rows.groupBy("path").agg(F.count("*").alias("freq")).where(F.col("freq") > FEW))
+            rows = rows.select(*_SIDE, "close", F.col("h").alias("h"), F.posexplode(tail).alias("step", "value"))
+            at = F.col("h.at") + 1 + F.col("step")
+            rows = rows.select(*_SIDE, at.alias("at"), (at + 1 - level <= F.col("close")).alias("near"), F.xxhash64("h.path", "value").alias("path"))
+        many = cut(rows.groupBy("path").agg(F.count("*").alias("freq"), F.bool_or("near").alias("any")).where(F.col("freq") > FEW))
         few = rows.join(many, "path", "left_anti")
-        a, b = (few.select("path", *[F.col(c).alias(f"{c}_{x}") for c in _SIDE]) for x in "ab")
+        a, b = (few.select("path", *[F.col(c).alias(f"{c}_{x}") for c in (*_SIDE, "near")]) for x in "ab")
         # The sides are one table, divided by the same key; as large as each other, so none is broadcast.
-        found.append(cut(a.hint("merge").join(b.hint("merge"), "path").where(_near(threshold)).select("rid_a", "rid_b").distinct()))
+        pairs = a.hint("merge").join(b.hint("merge"), "path").where((F.col("near_a") | F.col("near_b")) & _near(threshold))
+        found.append(cut(pairs.select("rid_a", "rid_b").distinct()))
         release(reps.sparkSession)
-        hot = rows.select("rid", "at", "path").join(many, "path").groupBy("rid").agg(F.collect_list(F.struct("path", "at", "freq")).alias("hot"))
-        open_ = cut(open_.select(*fixed).join(hot, "rid"))
-        ends = F.lit(level == LEVELS) | (F.col("sure") <= level)
-        left, ending = open_.agg(F.count("*"), F.count_if(ends)).head()
-        if ending:
-            over = open_.select(*_SIDE, F.explode("hot").alias("h"), ends.alias("ends")).select(*_SIDE, "ends", F.col("h.path").alias("path"), F.col("h.freq").alias("freq"))
-            found.append(cut(_blocked(over, F.col("ends"), threshold)))
-        del rows, many, few, a, b, hot
+        hot = many.where("any").select("path", "freq")
+        compared = hot.agg(F.sum(F.col("freq") * F.col("freq"))).head()[0] or 0
+        last = level == LEVELS or compared <= FEW * total
+        if compared and last:
+            found.append(cut(_blocked(rows.join(hot, "path").withColumn("ends", F.lit(True)), threshold)))
+        elif compared:
+            hot = rows.select("rid", "at", "path").join(hot, "path").groupBy("rid").agg(F.collect_list(F.struct("path", "at", "freq")).alias("hot"))
+            open_ = cut(open_.select(*fixed).join(hot, "rid"))
+            ends = F.col("sure") <= level
+            left, ending = open_.agg(F.count("*"), F.count_if(ends)).head()
+            if ending:
+                over = open_.select(*_SIDE, F.explode("hot").alias("h"), ends.alias("ends")).select(*_SIDE, "ends", F.col("h.path").alias("path"), F.col("h.freq").alias("freq"))
+                over = over.join(over.where("ends").select("path").distinct(), "path", "left_semi")
+                found.append(cut(_blocked(over, threshold)))
+            last = ending == left
+        del rows, many, few, a, b, pairs, hot
         release(reps.sparkSession)
-        if left == 0:
+        if last:
             break
         open_ = open_.where(F.col("sure") > level)
-    out = found[0]
-    for more in found[1:]:
+    spark, kind = reps.sparkSession, reps.schema["rid"].dataType.simpleString()
+    out = spark.createDataFrame(spark.sparkContext.emptyRDD(), f"rid_a {kind}, rid_b {kind}")
+    for more in found:
         out = out.unionByName(more)
     return out
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citeflow.functions.text import doi_key, word_list
 from citeflow.llm.neardup import equal_links, groups
 from citeflow.llm.survivor import survivors
-from citeflow.runtime import cut, table
+from citeflow.runtime import cut, release, table
 
 #: The similarity and least length that the test data state for titles.
 SIMILARITY, LEAST = 0.65, 5
@@ -36,23 +36,31 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 FIELDS = ["doi", "title", "authors", "year", "journal", "issn", "study_type", "gap", "oa_status", "oa_pdf_url", "citation_key"]
 
 
+def lost(entries: DataFrame, of: DataFrame) -> DataFrame:
+    """(entry_id) of records that another one of their work supersedes, by
+    either one's link. of: (entry_id, component)."""
+    # A record meets its own DOI and those of its links. The least and greatest id
+    # of those who own a DOI, or claim to supersede it, tell whether there is another one.
+    role = lambda kind, raw: F.struct(F.lit(kind).alias("kind"), raw.alias("raw"))
+    roles = F.array(role("own", F.col("doi")), role("by", F.col("superseded_by")))
+    roles = F.concat(roles, F.transform(F.coalesce("supersedes", F.array()), lambda raw: role("beats", raw)))
+    links = entries.select("entry_id", F.explode(roles).alias("x")).select("entry_id", "x.kind", doi_key(F.col("x.raw")).alias("doi"))
+    links = cut(links.where("doi IS NOT NULL").join(of, "entry_id").distinct())
+    owner, winner = (F.when(F.col("kind") == kind, F.col("entry_id")) for kind in ("own", "beats"))
+    ends = links.groupBy("component", "doi").agg(F.min(owner).alias("owner"), F.max(owner).alias("last_owner"), F.min(winner).alias("winner"), F.max(winner).alias("last_winner"))
+    met = links.where("kind <> 'beats'").join(ends, ["component", "doi"])
+    return met.where("CASE kind WHEN 'by' THEN entry_id <> owner OR entry_id <> last_owner ELSE entry_id <> winner OR entry_id <> last_winner END").select("entry_id").distinct()
+
+
 def _best(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "entries")
     of = cut(work_groups(entries))
-    used = [*FIELDS, "entry_id", "verification_status", "retracted", "superseded_by", "supersedes", "deleted", "arrived_at", "seq"]
-    rows = entries.select(used).join(of, "entry_id")
-    named = rows.select("component", "entry_id", doi_key(F.col("doi")).alias("self"), doi_key(F.col("superseded_by")).alias("by"), "supersedes")
-    # Who is superseded, by their own link or another record's: an equi-join on (work, DOI).
-    owns = named.where("self IS NOT NULL").select("component", F.col("self").alias("doi"), F.col("entry_id").alias("other")).distinct()
-    own_link = named.where("by IS NOT NULL").select("component", "entry_id", F.col("by").alias("doi")).distinct()
-    lost = own_link.join(owns, ["component", "doi"]).where("entry_id <> other").select("entry_id").distinct()
-    claims = named.select("component", F.col("entry_id").alias("winner"), F.explode("supersedes").alias("raw"))
-    claims = claims.select("component", "winner", doi_key(F.col("raw")).alias("doi")).where("doi IS NOT NULL").distinct()
-    beaten = claims.join(owns, ["component", "doi"]).where("winner <> other").select(F.col("other").alias("entry_id")).distinct()
-    lost = lost.unionByName(beaten).distinct().withColumn("lost", F.lit(True))
+    of = cut(of.join(lost(entries, of).withColumn("lost", F.lit(True)), "entry_id", "left"))
+    release(spark)
+    used = [*FIELDS, "entry_id", "verification_status", "retracted", "deleted", "arrived_at", "seq"]
     # A record's rows: the latest arrival that is no tombstone speaks for it.
-    latest = rows.groupBy("component", "entry_id").agg(F.max_by(F.struct(*used), F.struct(~F.coalesce("deleted", F.lit(False)), "arrived_at", "seq")).alias("r"))
-    latest = latest.select("component", *[F.col(f"r.{c}").alias(c) for c in used]).join(lost, "entry_id", "left")
+    latest = entries.select(used).join(of, "entry_id").groupBy("component", "entry_id", "lost").agg(F.max_by(F.struct(*[c for c in used if c != "entry_id"]), F.struct(~F.coalesce("deleted", F.lit(False)), "arrived_at", "seq")).alias("r"))
+    latest = latest.select("component", "entry_id", "lost", *[F.col(f"r.{c}").alias(c) for c in used if c != "entry_id"])
     sound = (F.col("verification_status") == "verified").cast("int") * 4 + (~F.coalesce("retracted", F.lit(False))).cast("int") * 2 + F.col("lost").isNull().cast("int")
     right = (F.col("verification_status") == "verified") & ~F.coalesce("retracted", F.lit(False)) & F.col("lost").isNull()
     trust = F.when(right, 8).otherwise(F.coalesce(sound, F.lit(0)))

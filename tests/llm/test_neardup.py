@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citeflow.llm import neardup
 from citeflow.llm.neardup import candidates, equal_links, groups, representatives, similar, size_bands
 from citeflow.llm.survivor import layers, survivors
+from citeflow.llm.works import lost, p6_records
 
 
 def brute(rows, threshold, least):
@@ -136,6 +137,38 @@ def test_levels_are_done_one_by_one(spark):
     assert {(r.rid_a, r.rid_b) for r in got.collect()} >= {(a, b) for a, b in combinations(range(90), 2) if a % 9 == b % 9}
 
 
+def test_everyday_words_open_no_level(spark, monkeypatch):
+    """Titles of rare words and of everyday ones, which all share: no similar pair
+    begins its common words with the latter, so their hot groups are given up."""
+    rng, common = random.Random(13), [f"c{k}" for k in range(14)]
+    rows = []
+    for i in range(240):
+        if i % 4 == 3:
+            base = list(rows[-1][1])
+            base[rng.randrange(5)] = f"n{i}"
+        else:
+            base = [f"r{i}_{k}" for k in range(5)] + rng.sample(common, 12)
+        rows.append((i, base))
+    monkeypatch.setattr(neardup, "FEW", 4)
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    reps, _ = representatives(docs, "id", "tokens", 5)
+    plan = candidates(reps, 0.65)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") <= 3  # nothing to begin with, then two levels; they were nine
+    want = brute(rows, 0.65, 5)
+    assert as_groups(groups(docs, "id", "tokens", 0.65, 5).collect()) == want and len(want) == 60
+
+
+def test_small_hot_groups_end_the_levels(spark, monkeypatch):
+    """A few groups little larger than FEW are compared, not extended."""
+    rows = [(i, [f"g{i if i > 6 else 0}_{k}" for k in range(8)] + [f"w{i}"]) for i in range(200)]
+    monkeypatch.setattr(neardup, "FEW", 5)
+    reps, _ = representatives(spark.createDataFrame(rows, "id long, tokens array<string>"), "id", "tokens", 5)
+    got = candidates(reps, 0.65)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 3  # nothing to begin with, the first level, its hot groups; they were eight
+    assert {(r.rid_a, r.rid_b) for r in got.collect()} == set(combinations(range(7), 2))
+
+
 def test_one_row_of_band_values_a_record(spark):
     """Records are sketched once, not once for each size band they meet, and the
     sketches are not another checkpointed copy of the table."""
@@ -204,3 +237,23 @@ def test_survivors_of_nothing_and_of_a_hot_group(spark):
     hot = spark.range(3000).select(F.lit(1).cast("long").alias("work"), F.col("id").alias("entry_id"), F.lit("t").alias("title"), F.lit(None).cast("array<string>").alias("tags"), (F.col("id") % 5).cast("int").alias("year"), F.timestamp_seconds(F.col("id") * 4000).alias("at"), (F.col("id") % 3).cast("int").alias("trust"), F.lit("x").alias("k"))
     r = survivors(hot, "work", "entry_id", ["title", "year"], "at", "trust").head()
     assert r.records == 3000 and r.entry_id == 2999
+
+
+def test_superseded_by_own_link_or_by_another(spark):
+    doi = "10.1000/{}".format
+    rows = [
+        (1, doi("a"), doi("B"), None), (2, doi("b"), None, None),  # 1 says that 2 supersedes it
+        (3, doi("c"), None, None), (4, doi("d"), None, [doi("c"), doi("d"), None]),  # 4 says so of 3, and of itself
+        (5, doi("e"), doi("e"), None), (6, doi("f"), doi("zz"), [doi("a")]),  # only itself; nobody; a record of another work
+        (7, doi("g"), None, [doi("g")]), (8, doi("g"), None, None),  # two records of one DOI
+        (1, doi("a"), None, None), (9, doi("h"), doi("b"), None), (10, None, None, [doi("h")]),
+    ]
+    entries = spark.createDataFrame(rows, "entry_id long, doi string, superseded_by string, supersedes array<string>")
+    of = spark.createDataFrame([(i, {5: 5, 6: 5, 7: 7, 8: 7}.get(i, 1)) for i in range(1, 10)], "entry_id long, component long")
+    assert sorted(r.entry_id for r in lost(entries, of).collect()) == [1, 3, 8, 9]
+
+
+def test_survivors_scan_the_entries_once_at_last(spark):
+    """What is left to run after the groups is one scan, not one for each link."""
+    plan = p6_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") <= 6
