@@ -291,3 +291,38 @@ def test_suggestions_keep_no_table_of_pairs(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
     rows = df.collect()
     assert len(rows) == len({(r.qid, r.cid) for r in rows}) == 144 and all(r.rank == 1 for r in rows if r.qid == r.cid)
+
+
+def rows_made(plan) -> int:
+    """The most rows that any node of a plan that has run put out."""
+    stages = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(rows_made, stages)])
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 8, 128])
+def test_suggestions_match_brute_force(spark, frequent):
+    """Whichever words are bits, the few (with 128, all) or none."""
+    rng = random.Random(frequent)
+    usual = [f"u{i}" for i in range(10)]
+    title = lambda: " ".join([*rng.sample(usual, rng.randint(0, 7)), *(f"r{rng.randint(0, 300)}" for _ in range(rng.randint(0, 5)))])
+    q, c = [(i, title()) for i in range(90)], [(i, title()) for i in range(300)] + [(300, None), (301, "")]
+    frames = (spark.createDataFrame(rows, f"{x} long, title string") for x, rows in (("qid", q), ("cid", c)))
+    got = {(r.qid, r.rank): (r.cid, r.similarity, r.match) for r in linking.suggestions(*frames, 3, 0.4, frequent).collect()}
+    want = {}
+    for i, t in q:
+        a = set(t.split())
+        pairs = ((len(a & b) / len(a | b), j) for j, x in c if a and (b := set((x or "").split())))
+        best = sorted((-s, j) for s, j in pairs if s >= 0.4)[:3]
+        want |= {(i, n): (j, -s, -s >= 0.6) for n, (s, j) in enumerate(best, 1)}
+    assert len(want) > 100 and got == want
+
+
+def test_suggestions_of_titles_alike_in_frequent_words_meet_as_patterns(spark):
+    """A thousand titles and a hundred queries of one pattern, each with a word
+    of its own: all 100,000 pairs are similar enough, but none is made."""
+    q, c = (spark.createDataFrame([(i, f"dose of a treatment in adults {x}{i}") for i in range(n)], f"{x} long, title string") for x, n in (("qid", 100), ("cid", 1000)))
+    df = linking.suggestions(q, c, 3, 0.4, 6)
+    rows = df.collect()
+    assert {(r.qid, r.cid, r.rank, r.match) for r in rows} == {(i, j, j + 1, True) for i in range(100) for j in range(3)} and {r.similarity for r in rows} == {6 / 8}
+    assert rows_made(df._jdf.queryExecution().executedPlan()) < 10_000
